@@ -1,0 +1 @@
+"""The engine is batch only: none of the supported operators keeps stream state."""
