@@ -62,12 +62,16 @@ def _paired(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def correl(x: Column, y: Column, n: int, over: SymbolFrame) -> Column:
-    """Pairwise-complete Pearson; NULL when either side is constant."""
+    """Pairwise-complete Pearson before clamping; NULL when either side is constant."""
     px, py = _paired(x, y)
     frame = over.last(n)
     scale = F.stddev_samp(px).over(frame) * F.stddev_samp(py).over(frame)
-    rho = F.try_divide(F.covar_samp(px, py).over(frame), scale)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))
+    return F.try_divide(F.covar_samp(px, py).over(frame), scale)
+
+
+def clamp_correlation(rho: Column) -> Column:
+    """Rounding can push a perfect correlation just outside [-1, 1]."""
+    return F.when(F.abs(rho) <= 1, rho).otherwise(F.signum(rho))
 
 
 def raw_return(close: Column, over: SymbolFrame) -> Column:

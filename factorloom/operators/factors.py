@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,17 +48,14 @@ def compute_composed(
     return out if fill is None else out.fillna(fill, subset=list(roots)) if roots else out
 
 
-def compute_named(
+def compute_dense(
     panel: DataFrame,
-    tokens: Sequence[str],
+    formulas: Mapping[str, str],
     *,
     layout: Layout | None = None,
     use_amount: bool = False,
 ) -> DataFrame:
-    """Named factors over the dense grid; missing values stay NULL."""
-    unknown = sorted({t for t in tokens if t not in named.FORMULAS})
-    if unknown:
-        raise ValueError(f"unknown named factors: {unknown}")
+    """Formulas in the named library's functions, over the dense grid; NULL stays NULL."""
     layout = layout or measure_layout(panel)
     grid = panels.densify(panels.numeric_fields(panel), layout)
     fed = grid.select(
@@ -69,10 +66,18 @@ def compute_named(
     columns = FactorColumns({c: c for c in fed.columns if c not in panels.KEYS})
     operators = named.operators(volume_field="amount" if use_amount else "volume")
     reader = FormulaReader(columns, operators, {"ret": named.return_node}, comparisons=True)
-    roots = _read_all(reader, [(t, named.FORMULAS[t]) for t in tokens])
+    roots = _read_all(reader, list(formulas.items()))
     return columns.add_to(fed, roots, panels.dense_layout(layout))
 
 
+def compute_named(panel: DataFrame, tokens: Sequence[str], **options) -> DataFrame:
+    """Named factors, one column per distinct token."""
+    unknown = sorted({t for t in tokens if t not in named.FORMULAS})
+    if unknown:
+        raise ValueError(f"unknown named factors: {unknown}")
+    return compute_dense(panel, {t: named.FORMULAS[t] for t in tokens}, **options)
+
+
 def compute_factors(
     panel: DataFrame,
     formulas: Sequence[str],

@@ -68,7 +68,7 @@ def _match(panel: DataFrame, wanted: str) -> str | None:
     return next((c for c in panel.columns if c.lower() == wanted), None)
 
 
-def _apply_one(panel: DataFrame, inputs: dict[str, str], build, name: str, layout) -> DataFrame:
+def apply_one(panel: DataFrame, inputs: dict[str, str], build, name: str, layout) -> DataFrame:
     """Adds one derived column, by the layout the panel's group sizes call for."""
     layout = layout or measure_layout(panel)
     columns = FactorColumns({k: f"_in_{k}" for k in inputs}, rank_digits=None)
@@ -95,7 +95,7 @@ def compute_weighted_price(
     def build(c):
         return c.apply(_VWAP, c.field_node("price"), c.field_node("volume"))
 
-    return _apply_one(panel, {"price": price, "volume": volume}, build, "vwap", layout)
+    return apply_one(panel, {"price": price, "volume": volume}, build, "vwap", layout)
 
 
 def traded_price(amount: Column, volume: Column) -> Column:

@@ -14,7 +14,15 @@ OPERATORS: dict[str, Operator] = {
         Operator("DELTA", ts.delta, by="symbol", integers=1, lookback=lambda n: n),
         Operator("TS_MEAN", ts.ts_mean, by="symbol", integers=1, lookback=lambda n: n - 1),
         Operator("TS_STDDEV", ts.ts_stddev, by="symbol", integers=1, lookback=lambda n: n - 1),
-        Operator("CORREL", ts.correl, by="symbol", series=2, integers=1, lookback=lambda n: n - 1),
+        Operator(
+            "CORREL",
+            ts.correl,
+            by="symbol",
+            series=2,
+            integers=1,
+            lookback=lambda n: n - 1,
+            finish=ts.clamp_correlation,
+        ),
         Operator("Z_SCORE", cs.ZSCORE, by="date"),
         Operator("SIGN", ew.sign),
         Operator("ABS", ew.absolute),

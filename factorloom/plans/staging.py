@@ -40,6 +40,7 @@ class Operator:
     repeats_arguments: bool = False
     round_operand: bool = False
     carries: bool = False
+    finish: Callable[[Column], Column] | None = None  # row-wise step on the stored result
 
 
 @dataclass
@@ -84,7 +85,10 @@ class FactorColumns:
             return node
 
         node = self._intern(key, build)
-        return node
+        if operator.finish is None:
+            return node
+        last = Operator(f"{operator.name}_finish", operator.finish, repeats_arguments=True)
+        return self.apply(last, node)
 
     def settled(self, arg):
         """An operand about to be ordered, free of last-bit noise from window sums."""
