@@ -188,9 +188,13 @@ def _(spark, folder):
 composed("P3_ret_filled", "RET")
 
 
-@query("P4_vwap_cross_section", duck.formulas_sql({"vwap": "VWAP"}, bars=duck.DAILY_BARS))
+@query(
+    "P4_vwap_cross_section",
+    f"select date, symbol, coalesce(close * volume / nullif(sum(volume) over (partition by date), 0), close) "
+    f"as vwap from ({duck.DAILY_BARS})",
+)
 def _(spark, folder):
-    return shown(panel.compute_weighted_price(daily(spark, folder)))
+    return panel.compute_weighted_price(daily(spark, folder))
 
 
 dense("P5_vwap_traded", "vwap")
@@ -469,8 +473,8 @@ CANDIDATES_SQL = (
     "when 'signup' then 'alpha' || lpad(cast(event_id % 200 as varchar), 3, '0') "
     "when 'click' then 'Z_SCORE(' || expression || ') / 2' else expression end as expression from mined)"
 )
-_IDENT = "'(?:^|[^A-Za-z0-9_.])([A-Za-z_][A-Za-z0-9_]*)'"
-_CALL = r"'(?:^|[^A-Za-z0-9_.])([A-Za-z_][A-Za-z0-9_]*)\s*\('"
+_IDENT = r"'\b([A-Za-z_][A-Za-z0-9_]*)\b'"
+_CALL = r"'\b([A-Za-z_][A-Za-z0-9_]*)\s*\('"
 _KNOWN = "['RANK','DELTA','TS_MEAN','TS_STDDEV','CORREL','Z_SCORE','SIGN','ABS']"
 _BASE = "['OPEN','HIGH','LOW','CLOSE','VOLUME','RET','VWAP','AMOUNT']"
 
@@ -755,9 +759,9 @@ def _(spark, folder):
 # ---- chains ----
 
 CHAINS_SQL = (
-    "ranked as (select run_id, expression, row_number() over (partition by run_id order by score desc, pos) - 1 as at, "
+    "ranked as (select run_id, expression, row_number() over (partition by run_id order by score desc, pos) - 1 as slot, "
     "cast(ceil(count(*) over (partition by run_id) / 3) as bigint) as chunk from {scored}), "
-    "chains as (select run_id, cast(floor(at / chunk) as integer) as chain_id, cast(at % chunk as integer) as pos, "
+    "chains as (select run_id, cast(floor(slot / chunk) as integer) as chain_id, cast(slot % chunk as integer) as pos, "
     "expression from ranked)"
 )
 _PLAIN_SCORES = "plain as (select *, 1.0 - pos / count(*) over (partition by run_id) as score from mined)"

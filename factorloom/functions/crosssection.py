@@ -9,10 +9,10 @@ Percentile rank is the only order-based one and has its own two forms.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.elementwise import drop_nan
@@ -42,6 +42,37 @@ def percent_rank_average(x: Column, keys=("date",)) -> Column:
     return F.when(x.isNotNull(), middle / F.count(x).over(whole))
 
 
+def rank_columns(df: DataFrame, columns: dict[str, str], keep: Sequence[str]) -> DataFrame:
+    """Percentile ranks of many columns at once: ``date, symbol``, ``keep``, then the ranks.
+
+    ``columns`` maps output name -> column.  Inside each task the wide rows are
+    laid out as one short row per value, sorted once by (date, column, value),
+    ranked by one window and folded back.  All three steps are satisfied by the
+    one exchange on ``date``.  Kept columns ride along as further values.
+    ``_row`` tells rows with equal keys apart; it is made and used up between
+    two shuffles, so a rerun task makes its own.
+    """
+    values = [*columns.values(), *keep]
+    # Only rows of the same date need to share a task.
+    placed = df.repartition("date").withColumn("_row", F.monotonically_increasing_id())
+    short = placed.select(
+        "date", "symbol", "_row", F.posexplode(F.array(*values)).alias("_at", "_x")
+    )
+    x = F.when(F.col("_at") < len(columns), F.col("_x"))  # kept values need no rank
+    ranked = short.withColumn("_r", percent_rank_average(x, ("date", "_at")))
+    at = F.col("_at")
+    folded = [
+        *[F.max(F.when(at == i, F.col("_r"))).alias(name) for i, name in enumerate(columns)],
+        *[
+            F.max(F.when(at == len(columns) + i, F.col("_x"))).alias(name)
+            for i, name in enumerate(keep)
+        ],
+    ]
+    return ranked.groupBy("date", "symbol", "_row").agg(*folded).select(
+        "date", "symbol", *keep, *columns
+    )
+
+
 def _zscore_finish(series, values):
     (x,), (mean, deviation) = series, values
     return F.coalesce(drop_nan(F.try_divide(x - mean, deviation)), F.lit(0.0))

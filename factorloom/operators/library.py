@@ -100,12 +100,12 @@ def operator_cards(spark: SparkSession) -> DataFrame:
 
 
 def called_functions(expression: Column) -> Column:
-    pattern = F.lit(r"(?:^|[^A-Za-z0-9_.])([A-Za-z_][A-Za-z0-9_]*)\s*\(")
+    pattern = F.lit(r"(?<![A-Za-z0-9_.])([A-Za-z_][A-Za-z0-9_]*)\s*\(")
     return F.array_sort(F.array_distinct(F.regexp_extract_all(_unquoted(expression), pattern, F.lit(1))))
 
 
 def identifiers(expression: Column) -> Column:
-    pattern = F.lit(r"(?:^|[^A-Za-z0-9_.])([A-Za-z_][A-Za-z0-9_]*)")
+    pattern = F.lit(r"(?<![A-Za-z0-9_.])([A-Za-z_][A-Za-z0-9_]*)")
     return F.array_sort(F.array_distinct(F.regexp_extract_all(_unquoted(expression), pattern, F.lit(1))))
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.crosssection import DateMoments, percent_rank_average
+from factorloom.functions.crosssection import DateMoments, percent_rank_average, rank_columns
 from factorloom.functions.timeseries import SymbolFrame
 from factorloom.plans import skew
 from factorloom.plans.durable import durable
@@ -123,6 +123,8 @@ class FactorColumns:
             if node.leaf:
                 continue
             stage, step = max([a.place for a in node.args if isinstance(a, Node)], default=(0, 0))
+            if stage > 0:
+                node.stored = True  # one result travels on instead of its operands
             if node.operator.by is None:
                 node.place = (stage, step + 1) if node.stored else (stage, step)
             elif stage > 0 and _stage_key(stage) == node.operator.by:
@@ -168,13 +170,14 @@ class FactorColumns:
             steps = [
                 [n for n in stored if n.place == place] for place in places if place[0] == stage
             ]
+            needed = self._needed_after(stage, roots)
             if _stage_key(stage) == "symbol":
                 df = self._symbol_stage(df, steps, layout)
             elif _stage_key(stage) == "date":
-                df = self._date_stage(df, steps, layout)
+                df = self._date_stage(df, steps, layout, needed)
             else:
                 df = self._plain_steps(df, steps, None)
-            df = df.select("date", "symbol", *self._needed_after(stage, roots))
+            df = df.select("date", "symbol", *needed)
         outputs = [_output(self._value(root)).alias(label) for label, root in roots.items()]
         return df.select("date", "symbol", *outputs)
 
@@ -215,12 +218,13 @@ class FactorColumns:
         helpers = ["_segment", "_halo", *[f"_carry_{c}" for c in carry]]
         return out.where(~F.col("_halo")).drop(*helpers)
 
-    def _date_stage(self, df: DataFrame, steps, layout: Layout) -> DataFrame:
+    def _date_stage(self, df: DataFrame, steps, layout: Layout, needed) -> DataFrame:
+        steps = _gather_ranks(steps)
         if not layout.split_dates:
-            return self._plain_steps(df, steps, None)
+            return self._usual_dates(df, steps, needed)
         marked = durable(skew.mark_large_dates(df, layout))
-        usual = self._plain_steps(marked.where(F.col("_large").isNull()), steps, None)
-        large = marked.where(F.col("_large"))
+        usual = marked.where(F.col("_large").isNull()).drop("_large")
+        large = marked.where(F.col("_large")).drop("_large")
         for nodes in steps:
             plain = [n for n in nodes if n.operator.by is None]
             large = self._plain_steps(large, [plain], None) if plain else large
@@ -228,11 +232,76 @@ class FactorColumns:
             if moments:
                 items = [(n.name, n.operator.fn, [self._value(a) for a in n.args]) for n in moments]
                 large = skew.spread_moments(large, ["date"], items)
-            ranks = [n for n in nodes if n.operator.by == "date" and n.operator.fn is None]
+            ranks = [n for n in nodes if _is_rank(n)]
             if ranks:
-                columns = {n.name: n.args[0].source or n.args[0].name for n in ranks}
-                large = skew.spread_ranks(large, ["symbol"], ["date"], columns)
-        return usual.unionByName(large.select(*usual.columns)).drop("_large")
+                large = skew.spread_ranks(large, ["symbol"], ["date"], _rank_inputs(ranks))
+        return self._usual_dates(usual, steps, needed).select("date", "symbol", *needed).unionByName(
+            large.select("date", "symbol", *needed)
+        )
+
+    def _usual_dates(self, df: DataFrame, steps, needed) -> DataFrame:
+        for i, nodes in enumerate(steps):
+            ranks = [n for n in nodes if _is_rank(n)]
+            if len(ranks) < MANY_RANKS:
+                df = self._plain_steps(df, [nodes], None)
+                continue
+            others = [n for n in nodes if not _is_rank(n)]
+            df = self._plain_steps(df, [others], None) if others else df
+            made = {n.name for n in ranks}
+            wanted = set(needed)
+            for later in steps[i + 1 :]:
+                for node in later:
+                    wanted.update(self._reads(node))
+            keep = [c for c in df.columns if c in wanted and c not in made]
+            keep = [c for c in keep if c not in ("date", "symbol")]
+            df = rank_columns(df, _rank_inputs(ranks), keep)
+        return df
+
+    def _reads(self, node: Node) -> set[str]:
+        """Columns a node's definition mentions."""
+        found: set[str] = set()
+        for arg in node.args:
+            if isinstance(arg, Node):
+                if arg.leaf:
+                    found.add(arg.source)
+                elif arg.stored:
+                    found.add(arg.name)
+                else:
+                    found |= self._reads(arg)
+        return found
+
+
+# From this many ranks in one step on, rows are laid out one value each.
+MANY_RANKS = 4
+
+
+def _is_rank(node: Node) -> bool:
+    return node.operator.by == "date" and node.operator.fn is None
+
+
+def _rank_inputs(ranks) -> dict[str, str]:
+    return {n.name: n.args[0].source or n.args[0].name for n in ranks}
+
+
+def _gather_ranks(steps) -> list[list[Node]]:
+    """Puts off each rank to the last step it can wait for, so that ranks come together."""
+    flat = [n for nodes in steps for n in nodes]
+    order = {n.name: i for i, nodes in enumerate(steps) for n in nodes}
+    last = max((order[n.name] for n in flat if _is_rank(n)), default=0)
+    due = {n.name: last if _is_rank(n) else order[n.name] for n in flat}
+
+    def used_by(node, reader) -> bool:
+        return any(
+            a is node or (not a.stored and not a.leaf and used_by(node, a))
+            for a in reader.args
+            if isinstance(a, Node)
+        )
+
+    for node in reversed(flat):  # users come after what they use
+        if _is_rank(node):
+            users = [due[u.name] for u in flat if u is not node and used_by(node, u)]
+            due[node.name] = max(order[node.name], min([due[node.name], *[u - 1 for u in users]]))
+    return [[n for n in flat if due[n.name] == i] for i in range(len(steps))]
 
 
 def _stage_key(stage: int) -> str | None:
