@@ -113,10 +113,9 @@ def pow_sql(a: str, b: str) -> str:
 
 INEXACT = {
     "TS_MEAN", "TS_STDDEV", "CORREL", "Z_SCORE", "VWAP",
-    "sum", "adv", "sd", "cor", "cov", "scale", "dl", "product",
+    "sum", "adv", "sd", "cor", "cov", "scale", "dl", "product", "log", "signedpower",
 }
 ORDERED = {"RANK", "rank", "tsr", "ts_argmax", "ts_argmin"}
-ROW_WISE = {"SIGN", "ABS", "sign", "abs", "log", "signedpower", "min2", "max2", "where"}
 
 RET = (
     "coalesce(case when lastp <> 0 and isfinite(close / lastp - 1) then close / lastp - 1 end, 0.0)"
@@ -195,7 +194,7 @@ class FormulaSql:
         if isinstance(op, ast.Div):
             sql = divide_sql(a, b)
         elif isinstance(op, ast.Pow):
-            sql = pow_sql(a, b)
+            sql, inexact = pow_sql(a, b), True
         elif isinstance(op, (ast.Lt, ast.LtE, ast.GtE)):
             code = {ast.Lt: "<", ast.LtE: "<=", ast.GtE: ">="}[type(op)]
             sql = f"cast({a} {code} {b} as double)"
@@ -211,7 +210,7 @@ class FormulaSql:
     def call(self, name: str, args: list):
         level = max((a[1] for a in args if isinstance(a, tuple)), default=0)
         inexact = name in INEXACT or (
-            name in ROW_WISE and any(isinstance(a, tuple) and a[2] for a in args)
+            name not in ORDERED and any(isinstance(a, tuple) and a[2] for a in args)
         )
         if name in ORDERED and args[0][2]:
             rounded = self.put(f"round({args[0][0]} * 1e9)", level, False)
@@ -298,6 +297,8 @@ def formulas_sql(
     fill: bool = False,
     digits: int = 6,
     final: str | None = None,
+    more_digits: dict[str, int] = {},
+    log_scale: frozenset[str] = frozenset(),
 ) -> str:
     """``date, symbol`` and one rounded column per formula (or ``final`` over table ``matrix``)."""
     fields = {"open", "high", "low", "close", "volume", "amount"} | ({"vwap"} if named else set())
@@ -318,5 +319,11 @@ def formulas_sql(
         cols = ", ".join(f'{shown(s)} as "{k}"' for k, s in outputs.items())
         ctes.append(f"matrix as (select date, symbol, {cols} from {last})")
         return f"with {', '.join(ctes)} {final}"
-    cols = ", ".join(f'round({shown(s)}, {digits}) + 0.0 as "{k}"' for k, s in outputs.items())
+
+    def settled(label: str, sql: str) -> str:
+        if label in log_scale:  # beyond the digits a double has
+            return f"round(sign({sql}) * ln(1 + abs({sql})), 6) + 0.0"
+        return f"round({shown(sql)}, {more_digits.get(label, digits)}) + 0.0"
+
+    cols = ", ".join(f'{settled(k, s)} as "{k}"' for k, s in outputs.items())
     return f"with {', '.join(ctes)} select date, symbol, {cols} from {last}"

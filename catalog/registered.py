@@ -35,11 +35,27 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def shown(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+# Values with exact ties at the sixth digit, and values beyond the digits of a double.
+MORE_DIGITS = {"alpha017": 8}
+LOG_SCALE = frozenset({"alpha084"})
+
+
+def shown(
+    df: DataFrame,
+    *names: str,
+    more_digits: dict[str, int] = MORE_DIGITS,
+    log_scale: frozenset[str] = LOG_SCALE,
+) -> DataFrame:
     """Keys and rounded values, so that the last bits of a double do not matter."""
     names = names or tuple(c for c in df.columns if c not in ("date", "symbol"))
-    rounded = [(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) for c in names]
-    return df.select("date", "symbol", *rounded)
+
+    def settled(name: str):
+        x = F.col(f"`{name}`")
+        if name in log_scale:
+            x = F.signum(x) * F.ln(F.lit(1.0) + F.abs(x))
+        return (F.round(x, more_digits.get(name, 6)) + 0.0).alias(name)
+
+    return df.select("date", "symbol", *[settled(c) for c in names])
 
 
 def composed(name: str, formulas: dict[str, str] | str, fill: bool = True, build_bars=weekly) -> None:
@@ -61,7 +77,9 @@ def dense(name: str, formulas: dict[str, str] | str) -> None:
     if isinstance(formulas, str):
         formulas = {"value": formulas}
 
-    @query(name, duck.formulas_sql(formulas, named=True))
+    labels = dict(more_digits=MORE_DIGITS, log_scale=LOG_SCALE)
+
+    @query(name, duck.formulas_sql(formulas, named=True, **labels))
     def run(spark, folder):
         return shown(factors.compute_dense(weekly(spark, folder), formulas))
 
@@ -368,7 +386,10 @@ def _(spark, folder):
     return shown(matrix.toDF("date", "symbol", *UNIQUE_SEEDS))
 
 
-@query("B1_named_batch", duck.formulas_sql(named.FORMULAS, named=True))
+@query(
+    "B1_named_batch",
+    duck.formulas_sql(named.FORMULAS, named=True, more_digits=MORE_DIGITS, log_scale=LOG_SCALE),
+)
 def _(spark, folder):
     return shown(factors.compute_named(weekly(spark, folder), list(named.FORMULAS)))
 
@@ -787,7 +808,7 @@ def _(spark, folder):
 
 
 _TOKENS = (
-    "list_sort(list_filter(list_distinct(regexp_split_to_array(upper(translate({}, '()-+*/', '      ')), "
+    "list_sort(list_filter(list_distinct(regexp_split_to_array(upper(translate(replace({}, 'ß', 'ss'), '()-+*/', '      ')), "
     r"'\s+')), lambda t: t <> ''))"
 )
 
@@ -819,9 +840,9 @@ _MATCH_SQL = (
     "cn as (select run_id, chain_id, count(*) as n from ct group by 1, 2), "
     "pairs as (select sn.run_id, sample_id, chain_id, sn.n as a, cn.n as b, "
     "(select count(*) from st join ct on st.t = ct.t where st.run_id = sn.run_id and ct.run_id = cn.run_id "
-    "and st.sample_id = sn.sample_id and ct.chain_id = cn.chain_id) as both from sn join cn on sn.run_id = cn.run_id), "
-    "best as (select *, both / (a + b - both) as score, row_number() over (partition by run_id, sample_id "
-    "order by both / (a + b - both) desc, chain_id) as r from pairs) "
+    "and st.sample_id = sn.sample_id and ct.chain_id = cn.chain_id) as shared from sn join cn on sn.run_id = cn.run_id), "
+    "best as (select *, shared / (a + b - shared) as score, row_number() over (partition by run_id, sample_id "
+    "order by shared / (a + b - shared) desc, chain_id) as r from pairs) "
 )
 
 
@@ -909,7 +930,7 @@ def _(spark, folder):
 
 
 for _token, _formula in named.FORMULAS.items():
-    dense(f"A{_token[-3:]}", _formula)
+    dense(f"A{_token[-3:]}", {_token: _formula})
 
 for _key, _formula in COMPOSED_SET.items():
     composed(_key, _formula)

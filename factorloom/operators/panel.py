@@ -132,14 +132,11 @@ def densify(panel: DataFrame, layout: Layout | None = None) -> DataFrame:
         count = layout.dates if layout.dates is not None else dates.count()
         block = 4096
         starts = F.sequence(F.lit(1), F.lit(count), F.lit(block))
+        within = F.sequence("start", F.least(F.col("start") + block - 1, F.lit(count)))
         grid = (
             symbols.withColumn("start", F.explode(starts))
-            .withColumn(
-                "at",
-                F.explode(
-                    F.sequence("start", F.least(F.col("start") + block - 1, F.lit(count)))
-                ).cast("long"),
-            )
+            .withColumn("at", F.explode(within))
+            .withColumn("at", F.col("at").cast("long"))
             .join(numbered, "at")
             .select("symbol", "date")
         )

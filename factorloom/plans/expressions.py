@@ -7,7 +7,7 @@ import operator as python_operator
 from collections.abc import Mapping
 
 from factorloom.functions import elementwise as ew
-from factorloom.plans.staging import FactorColumns, Node, Operator
+from factorloom.plans.staging import FactorColumns, Node, Operator, mark_inexact
 
 
 def _plain(name, fn, repeats=False, series=2):
@@ -21,6 +21,7 @@ _BINARY = {
     ast.Div: (_plain("/", ew.divide, repeats=True), python_operator.truediv),
     ast.Pow: (_plain("**", ew.power), python_operator.pow),
 }
+mark_inexact(["**"])  # math libraries differ in the last bit of a power
 _NEGATE = _plain("neg", ew.negate, series=1)
 _COMPARE = {
     ast.Lt: _plain("<", ew.less),

@@ -78,9 +78,7 @@ class FactorColumns:
         def build(name: str) -> Node:
             node = Node(name, operator, args)
             node.computed = operator.name in _INEXACT or (
-                operator.by is None
-                and operator.name != "_round"
-                and any(_inexact(a) for a in args)
+                operator.name not in _EXACT and any(_inexact(a) for a in args)
             )
             return node
 
@@ -328,6 +326,8 @@ _ROUND = Operator("_round", lambda x, digits: F.rint(x * F.lit(10.0**digits)), i
 
 # Operators whose result depends on the order floating point terms were combined in.
 _INEXACT: set[str] = set()
+# Ranks are counts; whatever noise the operand had is gone.
+_EXACT = {"RANK", "rank", "_round"}
 
 
 def mark_inexact(names: Iterable[str]) -> None:
