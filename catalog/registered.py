@@ -541,7 +541,7 @@ def _(spark, folder):
 
 
 _BREAK = library._LINE_BREAK
-_BLANKS = library._BLANK
+_BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def replies_sql(source: str, keys: str) -> str:

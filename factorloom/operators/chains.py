@@ -5,7 +5,7 @@ A run or chain may be very large, so it is never collected into one array.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.plans.skew import number_rows
@@ -87,15 +87,18 @@ def match_chain(samples: DataFrame, chains: DataFrame) -> DataFrame:
     """For each sample (``run_id, sample_id, expression``) the chain of its run most alike.
 
     Jaccard over tokens; the lowest ``chain_id`` wins a tie.  A run's chains lie
-    in arrays of at most ``CHAIN_BLOCK``, so a sample meets each array once and
+    in arrays of about ``CHAIN_BLOCK``, so a sample meets each array once and
     pairs are never laid out as rows.  A sample whose run has no chain is dropped.
     """
     tokens = chains.select("run_id", "chain_id", F.explode(tokenize(F.col("expression"))).alias("t"))
     sets = tokens.groupBy("run_id", "chain_id").agg(F.collect_set("t").alias("tokens"))
     first = chains.groupBy("run_id").agg(F.min("chain_id").alias("_first"))
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy("chain_id")) - 1
+    counts = sets.groupBy("run_id").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(CHAIN_BLOCK)).alias("_blocks")
+    )
     blocks = (
-        sets.withColumn("_block", F.floor(place / F.lit(CHAIN_BLOCK)))
+        sets.join(counts, "run_id")
+        .withColumn("_block", F.pmod(F.xxhash64("chain_id"), F.col("_blocks")))
         .groupBy("run_id", "_block")
         .agg(F.collect_list(F.struct("chain_id", "tokens")).alias("_chains"))
     )

@@ -72,7 +72,9 @@ DEFAULT_MAX_NEW = 5
 # Every line boundary and blank character that text handling in Python knows.
 _LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 _BLANK = (
-    r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
 )
 
 
@@ -206,13 +208,13 @@ def parse_responses(replies: DataFrame, text: str = "text") -> DataFrame:
     around the rest.
     """
     rest = [c for c in replies.columns if c != text]
-    trim = f"^{_BLANK}|{_BLANK}$"
+    blank, tick = F.lit(_BLANK), F.lit("`")
     lines = replies.select(*rest, F.posexplode(F.split(text, _LINE_BREAK)).alias("line", "_raw"))
-    stripped = F.regexp_replace("_raw", trim, "")
-    unlabelled = F.regexp_replace(F.regexp_replace(stripped, "^[^:]*:", ""), trim, "")
-    return lines.select(
-        *rest, "line", F.regexp_replace(unlabelled, "^`+|`+$", "").alias("expression")
-    ).where(F.col("expression") != "")
+    colon = F.instr(F.trim("_raw", blank), ":")  # 0 where there is none: the whole line stays
+    unlabelled = F.trim(F.substr(F.trim("_raw", blank), colon + 1), blank)
+    return lines.select(*rest, "line", F.trim(unlabelled, tick).alias("expression")).where(
+        F.col("expression") != ""
+    )
 
 
 # ---- prompts ----

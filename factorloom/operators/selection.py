@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.operators.panel import KEYS, _quote
+from factorloom.plans.durable import durable
 from factorloom.plans.skew import spread_ranks
 
 MAX_FACTORS = 2_000
@@ -40,25 +41,30 @@ def _clean(name: str) -> Column:
     return F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), kept))
 
 
-def standardize_matrix(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Missing and infinite to 0, clip, then (x - mean) / population deviation per factor.
-
-    One aggregation over all columns; a constant column becomes 0.
-    """
+def _standardized(matrix: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int, list[bool]]:
+    """Standardised columns, the number of rows, and which columns are constant."""
     names = factor_columns(matrix, keys)
-    if not names:
-        return matrix.select(*keys)
     cleaned = matrix.select(*keys, *[_clean(n).alias(n) for n in names])
     stats = cleaned.agg(
+        F.count(F.lit(1)).alias("rows"),
         *[F.avg(_quote(n)).alias(f"m{i}") for i, n in enumerate(names)],
         *[F.stddev_pop(_quote(n)).alias(f"s{i}") for i, n in enumerate(names)],
     ).first()
-    scaled = []
+    scaled, constant = [], []
     for i, n in enumerate(names):
         mean, deviation = stats[f"m{i}"], stats[f"s{i}"]
         value = (F.col(_quote(n)) - F.lit(mean)) / F.lit(deviation) if deviation else F.lit(0.0)
         scaled.append(value.alias(n))
-    return cleaned.select(*keys, *scaled)
+        constant.append(not deviation)
+    return cleaned.select(*keys, *scaled), stats["rows"], constant
+
+
+def standardize_matrix(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Missing and infinite to 0, clip, then (x - mean) / population deviation per factor.
+
+    One aggregation over all columns; a constant column becomes 0.
+    """
+    return _standardized(matrix, keys)[0]
 
 
 def _correlation(vectors: DataFrame, names: Sequence[str]) -> np.ndarray:
@@ -70,11 +76,13 @@ def _correlation(vectors: DataFrame, names: Sequence[str]) -> np.ndarray:
 
 
 def _gram(matrix: DataFrame, keys: Sequence[str]) -> tuple[list[str], np.ndarray]:
+    """Gram matrix of the standardised factors.
+
+    The matrix is written once and read by every pass, so that a large factor
+    plan runs a single time.
+    """
     names = factor_columns(matrix, keys)
-    standard = standardize_matrix(matrix, keys)
-    rows = standard.count()
-    live = standard.agg(*[F.max(F.abs(_quote(n))).alias(f"a{i}") for i, n in enumerate(names)])
-    constant = [not value for value in live.first()]
+    standard, rows, constant = _standardized(durable(matrix), keys)
     corr = _correlation(standard, names)
     for i, flat in enumerate(constant):
         corr[i, i] = 0.0 if flat else 1.0
@@ -106,6 +114,7 @@ def factor_similarity(
     spark = matrix.sparkSession
     if not names:
         return spark.createDataFrame([], "f1 STRING, f2 STRING, rho DOUBLE")
+    matrix = durable(matrix)  # read by several passes
     if metric == "pearson":
         corr = _correlation(standardize_matrix(matrix, keys), names)
     else:
@@ -169,8 +178,14 @@ def _best_labels(spark, points: np.ndarray, k: int) -> np.ndarray:
 
 
 def select_exemplars(clusters: DataFrame, n: int) -> DataFrame:
-    """Clusters take turns giving their factor nearest to the centre, until ``n`` are chosen."""
+    """Clusters take turns giving their factor nearest to the centre, until ``n`` are chosen.
+
+    No cluster gives more than ``n``, so Spark prunes each to ``n`` rows before
+    the shuffle, and the final order is over ``n`` rows.
+    """
+    n = max(n, 0)
     turn = F.row_number().over(Window.partitionBy("cluster").orderBy("dist", "factor_id"))
-    ordered = clusters.withColumn("turn", turn).orderBy("turn", "cluster").limit(max(n, 0))
+    turns = clusters.withColumn("turn", turn).where(F.col("turn") <= n)
+    ordered = turns.orderBy("turn", "cluster").limit(n)
     place = F.row_number().over(Window.orderBy("turn", "cluster"))
     return ordered.withColumn("place", place)
