@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder; where none is set, a folder beside the tables of the warehouse."""
     current = spark.sparkContext.getCheckpointDir()
     if current is not None:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or tempfile.mkdtemp(prefix="factorloom-")
+    path = configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir()
 
