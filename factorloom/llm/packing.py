@@ -2,7 +2,7 @@
 
 Three steps, each usable alone:
 
-* :func:`cut_pieces`: token ids of every document, an end id behind them, cut
+* :func:`stored_pieces`: token ids of every document, an end id behind them, cut
   only where a document is longer than a sequence;
 * :func:`pack`: *hierarchical residual packing*.  Every partition packs its own
   pieces best-fit (longest first); bins that are nearly full are final.  The
@@ -42,33 +42,76 @@ FAN_IN = 8
 _ENCODERS: dict[str, "WordIds"] = {}
 
 
-class WordIds(dict):
+class WordIds:
     """Ids (little-endian bytes) by blank-separated word.
 
-    The vocabulary drops white space and never joins text across it, so a text's
-    ids are those of its words in order.  The cache is emptied when full.
+    The vocabulary drops white space and letter case and never joins text across
+    white space or between a letter and a mark, so a text's ids are those of its
+    words in order.  Words that a batch of texts adds are encoded together; up to
+    ``ENTRIES`` of them stay known.
     """
 
-    ENTRIES, LONGEST = 300_000, 64
+    ENTRIES, LONGEST = 600_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self._tokenizer.encode(word, add_special_tokens=False).ids
-        out = array("I", ids).tobytes()
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.ENTRIES:
-                self.clear()
-            self[word] = out
+        names = self._tokenizer.get_vocab()
+        self._last = np.zeros(max(names.values()) + 1, bool)  # ids that end a run of letters
+        self._last[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+        self._tails = {mark: self._one(mark) for mark in ".,"}
+
+    def _one(self, text: str) -> bytes:
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _runs(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters only, encoded as one text: each ends at its one last id."""
+        out = {}
+        for first in range(0, len(words), 256):
+            part = words[first : first + 256]
+            ids = np.array(self._tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = ((np.flatnonzero(self._last[ids]) + 1) * 4).tolist()
+            data = ids.tobytes()
+            if len(ends) == len(part):
+                out.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends))))
+            else:  # a letter that the vocabulary's normalisation takes apart
+                out.update((w, self._one(w)) for w in part)
         return out
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def _learn(self, missing: set[str]) -> None:
+        plain, tailed, known = {}, {}, self.known
+        for w in missing:
+            base = w.lower() if w.isascii() else w
+            tail = base[-1:] if base[-1:] in self._tails else ""
+            base = base[: len(base) - len(tail)]
+            if base.isalpha() and len(base) <= self.LONGEST:
+                if base not in known:
+                    plain[base] = None
+                tailed[w] = base, tail
+            else:
+                known[w] = self._one(w)
+        runs = self._runs(list(plain))
+        for w, (base, tail) in tailed.items():
+            ids = runs[base] if base in runs else known[base]
+            known[w] = ids + self._tails[tail] if tail else ids
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        flat = [t.replace("\n", " ") for t in texts]
+        missing = set(" ".join(flat).split(" ")).difference(self.known)
+        self._learn(missing)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, t.split(" "))) for t in flat]
+        surplus = len(self.known) - self.ENTRIES
+        if surplus > 0:
+            if len(missing) > self.ENTRIES // 8:
+                self.known = {"": b""}
+            else:
+                for w in missing:
+                    self.known.pop(w, None)
+        return out
 
 
 def encoder(path: str) -> WordIds:
@@ -105,11 +148,11 @@ def cut_pieces(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = encoder(tokenizer)
         for batch in batches:
-            for first in range(0, len(batch), 1000):
-                part = batch.iloc[first : first + 1000]
+            for first in range(0, len(batch), 500):
+                part = batch.iloc[first : first + 500]
                 row, piece, ids = [], [], []
-                for i, t in enumerate(part["text"]):
-                    data = words.of(t or "") + end
+                for i, data in enumerate(words.of([t or "" for t in part["text"]])):
+                    data += end
                     for p, at in enumerate(range(0, len(data), step)):
                         row.append(i)
                         piece.append(p)
@@ -227,17 +270,16 @@ def pack(pieces: DataFrame, item: str = "piece_id", length: str = "length", size
     return every.mapInPandas(place, "item long, sequence_id long, offset long").withColumnRenamed("item", item)
 
 
-def packed(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str] = ("doc_id",),
-           size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """Every piece with its ids and its place: ``*keep, piece, start, length, ids, piece_id, sequence_id, offset``."""
+def stored_pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str] = ("doc_id",),
+                  size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+    """The pieces of :func:`cut_pieces` with a fixed ``piece_id``, written once."""
     cut = cut_pieces(docs, tokenizer, text, keep, size, end_id)
-    pieces = stored(cut.withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
-    return pieces.join(pack(pieces, size=size), "piece_id")
+    return stored(cut.withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
 
 
-def sequences(placed: DataFrame) -> DataFrame:
+def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:
     """``sequence_id, length, ids``: the packed sequences (a group has at most ``size`` pieces)."""
-    rows = placed.groupBy("sequence_id").agg(
+    rows = pieces.join(places, "piece_id").groupBy("sequence_id").agg(
         F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts")
     )
     joined = F.aggregate("parts", F.lit(b""), lambda acc, part: F.concat(acc, part["ids"]))

@@ -25,11 +25,9 @@ def query(name: str):
 
 @query("op1_best_fit_packing")
 def _(spark, folder):
-    docs = table(spark, folder, "documents")
-    placed = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return placed.select(
-        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
-    )
+    pieces = packing.stored_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    digest = pieces.select("piece_id", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digest.join(packing.pack(pieces), "piece_id").drop("piece_id")
 
 
 @query("op5_mixing_sources")
