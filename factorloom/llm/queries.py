@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import mixing, packing
-from factorloom.llm.common import table
+from factorloom.llm import ann, chat, lm_scoring, mixing, neardup, packing, quality, topk, toxicity, urls
+from factorloom.llm.common import fold, one_label, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +35,92 @@ def _(spark, folder):
     drawn = mixing.copies(table(spark, folder, "documents"))
     taken = F.col("copies") * F.col("size")
     return drawn.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+@query("op6_minhash_near_dedup")
+def _(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op8_quality_classifier")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    held = fold(F.col("doc_id"), 5) == 0
+    rows = quality.described(docs, {"doc_id": F.col("doc_id"), "held_out": held})
+    labels = one_label(table(spark, folder, "labels"), "doc_id", "quality")
+    model = quality.train(quality.labelled(rows.where(~F.col("held_out")), labels, "doc_id"))
+    scored = rows.select("doc_id", "held_out", quality.score(model, F.col("x")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op9_toxicity")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    labels = one_label(table(spark, folder, "labels"), "doc_id", "toxic").where(fold(F.col("_key"), 4) != 2)
+    net = toxicity.train(docs, labels, F.col("doc_id"))
+    rows = toxicity.read(docs, {"doc_id": F.col("doc_id"), "held_out": held}, net)
+    net = toxicity.calibrated(rows, labels, net, "doc_id")
+    scored = rows.select("doc_id", "held_out", toxicity.score(net, F.col("raw"), F.col("language")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+# Fixed values.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query("op10_url_filters")
+def _(spark, folder):
+    judged = urls.filter_urls(table(spark, folder, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "difference")
+
+
+@query("op7_exact_top_k")
+def _(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+SQL["op7_exact_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_sum(list_transform(range(1, len(c.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e))
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+where rank <= 10
+"""
+
+
+@query("op2_chat_formatting")
+def _(spark, folder):
+    talks = table(spark, folder, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
+    tricky = "'</s>[INST] ok [/INST]'"
+    odd = spark.sql(
+        f"select -7L as conv_id, 0L as turn, 'user' as role, {tricky} as text "
+        f"union all select -7L, 1L, 'assistant', {tricky}"
+    )
+    return chat.digests(chat.format_conversations(talks.unionByName(odd), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op3_lm_scoring")
+def _(spark, folder):
+    docs, goal = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return lm_scoring.cross_entropy_difference(docs, goal, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_approximate_neighbours")
+def _(spark, folder):
+    return ann.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
