@@ -37,33 +37,18 @@ from factorloom.llm.common import columns_of, stored
 
 WORDS = 5
 SIMILAR = 0.8
-SKETCHES = 32
+SKETCHES = 24
 PICKS = 4
+CELLS = 1 << 20
 # Texts compared with one centre in one task.
 GROUP = 128
 BLOCK = 256
+# Rows of small groups that one call handles together.
+ROWS = 400
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHash(dict):
-    """64-bit hash of a word; emptied when full."""
-
-    ENTRIES = 300_000
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) >= self.ENTRIES:
-            self.clear()
-        self[word] = value
-        return value
-
-
-_HASHES = WordHash()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     x = x ^ (x >> np.uint64(32))
@@ -73,38 +58,73 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+# A factor for each place in a shingle.
+_PLACES = mixed(np.arange(1, 17, dtype="uint64") * _MIX) | np.uint64(1)
+_FACTOR = 0xD1342543DE82EF95
+_POWERS = [np.ones(1, "uint64"), np.ones(1, "uint64")]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd factor modulo 2**64, and of its inverse."""
+    if len(_POWERS[0]) < n:
+        for i, factor in enumerate((_FACTOR, pow(_FACTOR, -1, 1 << 64))):
+            steps = np.full(2 * n, factor, "uint64")
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps, dtype="uint64")
+    return _POWERS
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of a text's words, from one polynomial sum over all its bytes."""
+    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), "uint8")
+    inside = np.r_[False, data > 32, False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, "uint64")
+    np.cumsum((data + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
 def labelled_shingles(text: str, width: int = WORDS) -> np.ndarray:
     """Hashes of the shingles with their occurrence number, in text order."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, "uint64")
-    h = np.fromiter(map(_HASHES.__getitem__, words), "uint64", len(words))
+    h = word_hashes(text)
+    if not len(h):
+        return h
     n = max(1, len(h) - width + 1)
     rolled = np.zeros(n, "uint64")
     for j in range(min(width, len(h))):
-        rolled = mixed(rolled + h[j : j + n] + _MIX)
+        rolled += h[j : j + n] * _PLACES[j % len(_PLACES)]
+    rolled = mixed(rolled)
+    ranked = np.sort(rolled)
+    if n == 1 or (ranked[1:] != ranked[:-1]).all():
+        return rolled
     order = np.argsort(rolled, kind="stable")
     ranked = rolled[order]
     first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
     times = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
-    occurrence = np.empty(n, "uint64")
-    occurrence[order] = times
-    return mixed(rolled + occurrence * _MIX)
+    later = order[times > 0]  # the first occurrence keeps its hash
+    rolled[later] = mixed(rolled[later] + times[times > 0].astype("uint64") * _MIX)
+    return rolled
 
 
 def sketches(shingles: np.ndarray, count: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
     """``count`` hashes, each of ``picks`` minimal shingles in text order."""
     n = len(shingles)
-    out = np.zeros(count, "uint64")
-    for i in range(count):
-        keyed = (shingles ^ mixed(np.array([i + 1], "uint64") * _MIX)) * np.uint64(0x9FB21C651E98DF25)
-        keyed ^= keyed >> np.uint64(29)
-        keyed *= np.uint64(0x9FB21C651E98DF25)
-        at = np.argpartition(keyed, picks)[:picks] if n > picks else np.arange(n)
-        value = np.array([i], "uint64")
-        for p in np.sort(at):
-            value = mixed(value + shingles[p] + _MIX)
-        out[i] = value[0]
+    seeds = mixed(np.arange(1, count + 1, dtype="uint64") * _MIX)
+    out = np.arange(count, dtype="uint64")
+    if not n:
+        return mixed(out)
+    step = max(1, CELLS // n)
+    for first in range(0, count, step):  # so many sketches at a time that memory stays bounded
+        own = slice(first, first + step)
+        if n > picks:
+            keyed = (shingles[None, :] ^ seeds[own, None]) * (seeds[own, None] | np.uint64(1))
+            at = np.sort(np.argpartition(keyed, picks, axis=1)[:, :picks], axis=1)
+        else:
+            at = np.broadcast_to(np.arange(n), (len(seeds[own]), n))
+        for j in range(at.shape[1]):
+            out[own] = mixed(out[own] + shingles[at[:, j]] + _MIX)
     return out
 
 
@@ -159,20 +179,23 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     sides = sized.select("a", "part", F.col("b").alias("text_id"), F.lit(False).alias("centre")).unionAll(
         sized.select("a", "part", F.col("a").alias("text_id"), F.lit(True).alias("centre")).distinct()
     )
-    rows = sides.join(texts, "text_id")
+    # Small groups share a call.
+    bins = max(1, -(-sized.count() // ROWS))
+    rows = sides.join(texts, "text_id").withColumn("bin", F.pmod(F.xxhash64("a", "part"), F.lit(bins)))
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        centre = batch[batch["centre"]]
-        rest = batch[~batch["centre"]]
-        if not len(centre) or not len(rest):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        shingles = labelled_shingles(centre["text"].iloc[0])
-        place = {s: i for i, s in enumerate(shingles.tolist())}
-        found = [aligned(place, len(shingles), labelled_shingles(t), similar) for t in rest["text"]]
-        out = pd.DataFrame({"a": rest["a"].to_numpy(), "b": rest["text_id"].to_numpy(), "similarity": found})
-        return out[out["similarity"] > 0]
+        found = []
+        for (a, _), group in batch.groupby(["a", "part"], sort=False):
+            shingles = labelled_shingles(group["text"][group["centre"]].iloc[0])
+            place = {s: i for i, s in enumerate(shingles.tolist())}
+            rest = group[~group["centre"]]
+            for b, t in zip(rest["text_id"], rest["text"]):
+                near = aligned(place, len(shingles), labelled_shingles(t), similar)
+                if near:
+                    found.append((a, b, near))
+        return pd.DataFrame(found, columns=["a", "b", "similarity"])
 
-    return rows.groupBy("a", "part").applyInPandas(compare, "a string, b string, similarity double")
+    return rows.groupBy("bin").applyInPandas(compare, "a string, b string, similarity double")
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -232,8 +255,11 @@ def classes(
     shared = stored(places.join(sizes, ["i", "value"]), "buckets")
     central = shared.groupBy("text_id").agg(F.sum("n").alias("weight"))
     weighed = shared.join(central, "text_id")
-    centres = weighed.groupBy("i", "value").agg(F.max(F.struct("weight", "text_id"))["text_id"].alias("a"))
-    pairs = shared.join(centres, ["i", "value"]).where("a <> text_id").select("a", F.col("text_id").alias("b")).distinct()
+    centres = weighed.groupBy("i", "value").agg(F.max(F.struct("weight", "text_id", "length")).alias("best"))
+    centres = centres.select("i", "value", F.col("best.text_id").alias("a"), F.col("best.length").alias("a_length"))
+    fits = F.least("length", "a_length") >= similar * F.greatest("length", "a_length")
+    pairs = shared.join(centres, ["i", "value"]).where("a <> text_id").where(fits)
+    pairs = stored(pairs.select("a", F.col("text_id").alias("b")).distinct(), "centre-pairs")
     links = stored(verified(pairs, texts, similar), "links")
     comps = stored(components(links, drawn), "components")
 
@@ -255,34 +281,48 @@ def open_pairs(rows: DataFrame, drawn: DataFrame, similar: float) -> DataFrame:
     block; a pair goes on if lengths allow the similarity and at least two
     sketches agree.
     """
-    sized = rows.groupBy("i", "value", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = sized.groupBy("i", "value").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    marked = rows.join(main, ["i", "value"]).withColumn("outside", F.col("comp") != F.col("main"))
-    marked = marked.join(drawn.select("text_id", "sketch"), "text_id")
-    outside = marked.where("outside").withColumn("block", F.pmod(F.xxhash64("text_id", F.lit(9)), F.ceil(F.col("n") / BLOCK)))
-    # Every text of the bucket meets every block of outside texts of that bucket.
-    blocks = outside.select("i", "value", "block").distinct()
-    inner = marked.join(blocks, ["i", "value"]).withColumn("part", F.pmod(F.xxhash64("text_id", F.lit(8)), F.ceil(F.col("n") / BLOCK)))
-    cols = ["text_id", "length", "comp", "sketch"]
-    left = outside.select("i", "value", "block", *cols)
-    parts = inner.select("i", "value", "block", "part").distinct()
-    left = left.join(parts, ["i", "value", "block"])
-    group = ["i", "value", "block", "part"]
+    bucket = ["i", "value"]
+    sized = rows.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = sized.groupBy(*bucket).agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
+    spread = lambda seed: F.pmod(F.xxhash64("text_id", F.lit(seed)), F.ceil(F.col("n") / BLOCK)).cast("int")
+    marked = stored(
+        rows.join(main, bucket).select(
+            *bucket, "text_id", "length", "comp", (F.col("comp") != F.col("main")).alias("outside"),
+            spread(9).alias("block"), spread(8).alias("part"),
+        ),
+        "marked",
+    )
+    outside = marked.where("outside").drop("part", "outside")
+    # Every block of outside texts of a bucket meets every part of all texts of that bucket.
+    parts = marked.select(*bucket, "part").distinct()
+    blocks = outside.select(*bucket, "block").distinct()
+    left = outside.join(parts, bucket)
+    right = marked.drop("block", "outside").join(blocks, bucket)
+    group, cols = [*bucket, "block", "part"], ["text_id", "length", "comp", "sketch"]
+    bins = max(1, -(-marked.count() // (10 * ROWS)))  # small groups share a call
+
+    def side(df: DataFrame) -> DataFrame:
+        whole = df.join(drawn.select(F.col("text_id").alias("_id"), "sketch"), F.col("text_id") == F.col("_id"))
+        named = whole.select(*[F.col(c).alias(c) for c in group + cols])
+        return named.withColumn("bin", F.pmod(F.xxhash64(*group), F.lit(bins)))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = set()
         if len(a) and len(b):
-            other, lengths = np.vstack(b["sketch"].to_list()), b["length"].to_numpy()
-            comps, ids = b["comp"].to_numpy(), b["text_id"].to_numpy()
-            for t, n, comp, sketch in zip(a["text_id"], a["length"], a["comp"], a["sketch"]):
-                near = (np.minimum(lengths, n) >= similar * np.maximum(lengths, n)) & (comps != comp)
-                near[near] = (other[near] == np.asarray(sketch)).sum(1) > 1
-                found += [(max(t, x), min(t, x)) for x in ids[near]]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    left = left.select(*[F.col(c).alias(c) for c in group + cols])  # both sides come from one table
-    inner = inner.select(*[F.col(c).alias(c) for c in group + cols])
-    met = left.groupBy(*group).cogroup(inner.groupBy(*group)).applyInPandas(meet, "a string, b string")
+            sketches_b, length_b = np.vstack(b["sketch"].to_list()), b["length"].to_numpy()
+            comp_b, id_b = b["comp"].to_numpy(), b["text_id"].to_numpy()
+            partners = b.groupby(group).indices
+            rows_a = zip(zip(*[a[c] for c in group]), a["text_id"], a["length"], a["comp"], a["sketch"])
+            for key, t, n, comp, sketch in rows_a:
+                at = partners.get(key, ())
+                if len(at):
+                    lengths = length_b[at]
+                    at = at[(np.minimum(lengths, n) >= similar * np.maximum(lengths, n)) & (comp_b[at] != comp)]
+                    at = at[(sketches_b[at] == sketch).sum(1) > 1]
+                    found.update((max(t, x), min(t, x)) for x in id_b[at])
+        return pd.DataFrame(sorted(found), columns=["a", "b"])
+
+    met = side(left).groupBy("bin").cogroup(side(right).groupBy("bin")).applyInPandas(meet, "a string, b string")
     return met.distinct()
 
 
