@@ -77,7 +77,7 @@ def cells_of(urls: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     """
     data = [bytes(ORDER) + (u or "").encode("utf-8", "surrogatepass") + b"\x01" for u in urls]
     flat = np.frombuffer(b"".join(data), "uint8").astype("uint64")
-    lengths = np.array([len(x) for x in data])
+    lengths = np.array([len(x) for x in data], "int64")
     starts = np.cumsum(lengths) - lengths
     inside = np.arange(len(flat)) - np.repeat(starts, lengths)
     at = np.flatnonzero(inside >= ORDER)
