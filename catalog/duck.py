@@ -10,11 +10,10 @@ import ast
 
 WEEKLY_BARS = """
 select date, symbol,
-       (min(k) % 2097152) / 16.0::double as open, max(t) / 16.0::double as high,
-       min(t) / 16.0::double as low, (max(k) % 2097152) / 16.0::double as close,
+       arg_min(t, k) / 16.0::double as open, max(t) / 16.0::double as high,
+       min(t) / 16.0::double as low, arg_max(t, k) / 16.0::double as close,
        sum(q) as volume, floor(sum(a) * 16 + 0.5) / 16 as amount
-from (select date, symbol, t, q, a,
-             (date_diff('day', date, day) * 549755813888 + l_orderkey) * 2097152 + t as k
+from (select date, symbol, t, q, a, row(day, l_orderkey, t) as k
       from (select cast(date_trunc('week', l_shipdate) as date) as date,
                    cast(l_shipdate as date) as day, p_brand as symbol, l_orderkey,
                    cast(floor(l_extendedprice / l_quantity * 16 + 0.5) as bigint) as t,
@@ -25,15 +24,14 @@ group by date, symbol
 
 DAILY_BARS = """
 select date, symbol,
-       (min(k) % 2097152) / 16.0::double as open, max(t) / 16.0::double as high,
-       min(t) / 16.0::double as low, (max(k) % 2097152) / 16.0::double as close,
+       arg_min(t, k) / 16.0::double as open, max(t) / 16.0::double as high,
+       min(t) / 16.0::double as low, arg_max(t, k) / 16.0::double as close,
        sum(q) as volume, floor(sum(a) * 16 + 0.5) / 16 as amount
-from (select cast(l_shipdate as date) as date, cast(l_suppkey as varchar) as symbol,
-             cast(floor(l_extendedprice / l_quantity * 16 + 0.5) as bigint) as t,
-             l_orderkey * 2097152
-               + cast(floor(l_extendedprice / l_quantity * 16 + 0.5) as bigint) as k,
-             l_quantity as q, l_extendedprice as a
-      from lineitem)
+from (select date, symbol, t, q, a, row(l_orderkey, t) as k
+      from (select cast(l_shipdate as date) as date, cast(l_suppkey as varchar) as symbol, l_orderkey,
+                   cast(floor(l_extendedprice / l_quantity * 16 + 0.5) as bigint) as t,
+                   l_quantity as q, l_extendedprice as a
+            from lineitem))
 group by date, symbol
 """
 
@@ -213,7 +211,10 @@ class FormulaSql:
             name not in ORDERED and any(isinstance(a, tuple) and a[2] for a in args)
         )
         if name in ORDERED and args[0][2]:
-            rounded = self.put(f"round({args[0][0]} * 1e9)", level, False)
+            # Rounded to 33 of 53 bits, so that the order of additions does not decide a tie.
+            v = args[0][0]
+            sql = f"case when abs({v}) < 1e290 then {v} * 1048577.0::double - ({v} * 1048577.0::double - {v}) else {v} end"
+            rounded = self.put(sql, level, False)
             args, level = [rounded, *args[1:]], rounded[1]
         if name == "adv":
             args = [("volume", 0, False), args[0]]

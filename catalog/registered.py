@@ -351,6 +351,7 @@ def _(spark, folder):
 
 composed("X1_rank", "RANK(VOLUME)", fill=False)
 composed("X1_rank_daily", "RANK(CLOSE)", fill=False, build_bars=daily)
+composed("X1_rank_small_values", "RANK(TS_MEAN(ABS(RET) / VOLUME / 1000000, 5))", fill=False)
 
 
 @query("X2_rank_transform", duck.formulas_sql({"volume": "RANK(VOLUME)"}, bars=duck.DAILY_BARS))
@@ -569,14 +570,14 @@ def _(spark, folder):
     "L6_parse_replies",
     replies_sql(
         f"(with {mined_ctes()} select run_id, string_agg('FA' || pos || ': `' || expression || '`', "
-        "chr(10) order by pos) as text from mined where pos < 5 group by run_id)",
+        "chr(10) order by pos) as text from mined group by run_id)",
         "run_id",
     ),
 )
 def _(spark, folder):
     line = F.concat(F.lit("FA"), "pos", F.lit(": `"), "expression", F.lit("`"))
     entry = F.struct("pos", line.alias("t"))
-    replies = library.first_entries(mined(spark, folder), 5).groupBy("run_id").agg(
+    replies = mined(spark, folder).groupBy("run_id").agg(
         F.array_join(F.array_sort(F.collect_list(entry)).t, "\n").alias("text")
     )
     return library.parse_responses(replies)
@@ -807,18 +808,17 @@ def _(spark, folder):
     )
 
 
-_TOKENS = (
-    "list_sort(list_filter(list_distinct(regexp_split_to_array(upper(translate(replace({}, 'ß', 'ss'), '()-+*/', '      ')), "
-    r"'\s+')), lambda t: t <> ''))"
-)
+def _tokens(text: str) -> str:
+    spaced = f"upper(translate(replace({text}, 'ß', 'ss'), '()-+*/', '      '))"
+    return f"list_sort(list_filter(list_distinct(regexp_split_to_array({spaced}, '{_BLANKS}')), lambda t: t <> ''))"
 
 
-@query("C2_tokenize", f"with {mined_ctes()} select event_id, {_TOKENS.format('expression')} as tokens from mined")
+@query("C2_tokenize", f"with {mined_ctes()} select event_id, {_tokens('expression')} as tokens from mined")
 def _(spark, folder):
     return mined(spark, folder).select("event_id", chains.tokenize(F.col("expression")).alias("tokens"))
 
 
-@query("C2_tokenize_documents", f"select doc_id, {_TOKENS.format('text')} as tokens from documents")
+@query("C2_tokenize_documents", f"select doc_id, {_tokens('text')} as tokens from documents")
 def _(spark, folder):
     return table(spark, folder, "documents").select("doc_id", chains.tokenize(F.col("text")).alias("tokens"))
 
@@ -834,8 +834,8 @@ _COMPOSED_LIST = ", ".join(f"'{e}'" for e in COMPOSED_SET.values())
 _MATCH_SQL = (
     f"with {_UNSCORED}, samples as (select run_id, event_id as sample_id, "
     f"[{_COMPOSED_LIST}][event_id % {len(COMPOSED_SET)} + 1] as expression from mined), "
-    f"st as (select distinct run_id, sample_id, unnest({_TOKENS.format('expression')}) as t from samples), "
-    f"ct as (select distinct run_id, chain_id, unnest({_TOKENS.format('expression')}) as t from chains), "
+    f"st as (select distinct run_id, sample_id, unnest({_tokens('expression')}) as t from samples), "
+    f"ct as (select distinct run_id, chain_id, unnest({_tokens('expression')}) as t from chains), "
     "sn as (select run_id, sample_id, count(*) as n from st group by 1, 2), "
     "cn as (select run_id, chain_id, count(*) as n from ct group by 1, 2), "
     "pairs as (select sn.run_id, sample_id, chain_id, sn.n as a, cn.n as b, "
@@ -891,7 +891,7 @@ _HINTS_SQL = ", ".join(f"({i}, '{h}')" for i, h in enumerate(chains.COLD_START_H
     "C5_cold_start_hints",
     f"with h(pos, hint) as (values {_HINTS_SQL}) select 0 as source, pos, hint from h union all "
     "select 1, conv_id * 1000 + turn, t from (select conv_id, turn, "
-    r"regexp_replace(text, '^\s+|\s+$', '', 'g') as t from conversations) where t <> ''",
+    f"regexp_replace(text, '^{_BLANKS}|{_BLANKS}$', '', 'g') as t from conversations) where t <> ''",
 )
 def _(spark, folder):
     extra = table(spark, folder, "conversations").select(

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.functions.elementwise import drop_nan
 from factorloom.plans.skew import number_rows
 
 # Number of starting chains and the longest chain kept whole.
@@ -23,6 +24,8 @@ COLD_START_HINTS = (
     "Liquidity-adjusted relative value: combine RANK(VWAP - CLOSE) with TS_MEAN(RET * VOLUME, 5) to emphasize institutional flow imbalances.",
 )
 
+# Every white-space character, for regular expressions.
+BLANKS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Chains compared in one array; further chains of a run go to further arrays.
 CHAIN_BLOCK = 64
 
@@ -32,7 +35,7 @@ def score_factors(factors: DataFrame, scores: DataFrame | None = None) -> DataFr
 
     ``factors``: ``run_id, pos, name, expression``; ``scores``: ``run_id, name, score``.
     A factor without a score gets the mean of all scores of its run, a run
-    without scores gets 1 - pos / n.
+    without scores gets 1 - pos / n.  A NaN is no score.
     """
     sizes = factors.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
     by_place = F.lit(1.0) - F.col("pos") / F.col("_n")
@@ -42,6 +45,7 @@ def score_factors(factors: DataFrame, scores: DataFrame | None = None) -> DataFr
     )
     if scores is None:
         return named.join(sizes, "run_id").withColumn("score", by_place).drop("_n", "_key")
+    scores = scores.withColumn("score", drop_nan(F.col("score"))).where(F.col("score").isNotNull())
     given = scores.select("run_id", F.col("name").alias("_key"), F.col("score").alias("_score"))
     means = scores.groupBy("run_id").agg(F.avg("score").alias("_mean"))
     joined = (
@@ -79,7 +83,7 @@ def initial_chains(
 def tokenize(expression: Column) -> Column:
     """Sorted distinct upper-case tokens; brackets and + - * / separate, commas stay."""
     spaced = F.translate(expression, "()-+*/", "      ")
-    parts = F.split(F.upper(spaced), r"\s+")
+    parts = F.split(F.upper(spaced), f"[{BLANKS}]+")
     return F.array_sort(F.array_distinct(F.filter(parts, lambda t: t != "")))
 
 
@@ -88,8 +92,11 @@ def match_chain(samples: DataFrame, chains: DataFrame) -> DataFrame:
 
     Jaccard over tokens; the lowest ``chain_id`` wins a tie.  A run's chains lie
     in arrays of about ``CHAIN_BLOCK``, so a sample meets each array once and
-    pairs are never laid out as rows.  A sample whose run has no chain is dropped.
+    pairs are never laid out as rows.  A sample whose run has no chain gets NULL
+    for both results.  Rows that repeat a sample in all columns come out once each.
     """
+    columns = samples.columns
+    samples = samples.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
     tokens = chains.select("run_id", "chain_id", F.explode(tokenize(F.col("expression"))).alias("t"))
     sets = tokens.groupBy("run_id", "chain_id").agg(F.collect_set("t").alias("tokens"))
     first = chains.groupBy("run_id").agg(F.min("chain_id").alias("_first"))
@@ -115,10 +122,11 @@ def match_chain(samples: DataFrame, chains: DataFrame) -> DataFrame:
     best = F.array_max(F.transform(F.col("_chains"), candidate))
     scored = joined.withColumn("_best", best).groupBy(*samples.columns).agg(F.max("_best").alias("_best"))
     return (
-        scored.join(first, "run_id")
+        scored.join(first, "run_id", "left")
         .withColumn("chain_id", F.coalesce(-F.col("_best.neg"), F.col("_first")))
-        .withColumn("score", F.coalesce(F.col("_best.score"), F.lit(0.0)))
-        .select(*samples.columns, "chain_id", "score")
+        .withColumn("score", F.coalesce(F.col("_best.score"), F.when(F.col("_first").isNotNull(), 0.0)))
+        .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+        .select(*columns, "chain_id", "score")
     )
 
 
@@ -167,6 +175,6 @@ def cold_start_hints(spark: SparkSession, extra: DataFrame | None = None) -> Dat
     )
     if extra is None:
         return fixed
-    text = F.regexp_replace("hint", r"^\s+|\s+$", "")
+    text = F.regexp_replace("hint", f"^[{BLANKS}]+|[{BLANKS}]+$", "")
     more = extra.select(F.lit(1).alias("source"), F.col("pos").cast("long").alias("pos"), text.alias("hint"))
     return fixed.unionByName(more.where(F.col("hint") != ""))

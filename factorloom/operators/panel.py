@@ -71,7 +71,7 @@ def _match(panel: DataFrame, wanted: str) -> str | None:
 def apply_one(panel: DataFrame, inputs: dict[str, str], build, name: str, layout) -> DataFrame:
     """Adds one derived column, by the layout the panel's group sizes call for."""
     layout = layout or measure_layout(panel)
-    columns = FactorColumns({k: f"_in_{k}" for k in inputs}, rank_digits=None)
+    columns = FactorColumns({k: f"_in_{k}" for k in inputs}, rank_noise_bits=None)
     fed = panel.select(
         *KEYS, *[drop_nan(F.col(c).cast("double")).alias(f"_in_{k}") for k, c in inputs.items()]
     )

@@ -64,7 +64,9 @@ class FactorColumns:
     """Collects formulas over named fields, then adds their columns to a panel."""
 
     fields: dict[str, str]
-    rank_digits: int | None = 9
+    # Lowest bits of a computed operand that do not count when it is ordered: with 20
+    # of 53 bits, values that agree to about 1e-10 of their size are ties.  None: all count.
+    rank_noise_bits: int | None = 20
     nodes: dict[tuple, Node] = field(default_factory=dict)
 
     def field_node(self, name: str) -> Node:
@@ -90,8 +92,8 @@ class FactorColumns:
 
     def settled(self, arg):
         """An operand about to be ordered, free of last-bit noise from window sums."""
-        if self.rank_digits and _inexact(arg):
-            return self.apply(_ROUND, arg, self.rank_digits)
+        if self.rank_noise_bits and _inexact(arg):
+            return self.apply(_ROUND, arg, self.rank_noise_bits)
         return arg
 
     def _intern(self, key, build) -> Node:
@@ -321,8 +323,14 @@ def _output(value) -> Column:
     return F.nanvl(column.cast("double"), F.lit(None).cast("double"))
 
 
-# Only the order of a rank operand matters, so it is scaled and not scaled back.
-_ROUND = Operator("_round", lambda x, digits: F.rint(x * F.lit(10.0**digits)), integers=1)
+
+def _shortened(x: Column, bits: int) -> Column:
+    """``x`` rounded to ``bits`` fewer bits, whatever its size (Veltkamp's splitting)."""
+    scaled = x * F.lit(2.0**bits + 1)
+    return F.when(F.abs(x) < 1e290, scaled - (scaled - x)).otherwise(x)
+
+
+_ROUND = Operator("_round", _shortened, integers=1, repeats_arguments=True)
 
 # Operators whose result depends on the order floating point terms were combined in.
 _INEXACT: set[str] = set()

@@ -2,6 +2,7 @@
 
 Order lines stand in for trades.  All aggregates are fixed-width, so both sides
 of the shuffle use hash aggregation and a busy bar is combined before it moves.
+A trade of quantity 0 has no price; it counts in volume and amount only.
 """
 
 from __future__ import annotations
@@ -9,20 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Prices sit on a 1/16 grid, which keeps window sums exact in any order.
+# Prices are rounded to a 1/16 grid, which keeps window sums exact in any order.
 TICK = 16
-# Bits of the packed trade key: day within the bar, order number, price in ticks.
-ORDER_BITS, PRICE_BITS = 39, 21
+# Decimal digits of the packed trade key below the day: order number and price in
+# ticks.  A DECIMAL(38) has place for every 64-bit order number and for prices up
+# to 6e12; anything beyond is an overflow error, never a wrong bar.
+ORDER_DIGITS, PRICE_DIGITS = 19, 14
 
 
 def bars(trades: DataFrame, date: Column, symbol: Column) -> DataFrame:
     """``date, symbol`` and the six bar fields.
 
     The first and last trade of a bar go by (day, order number, price); the
-    three are packed into one integer, whose minimum and maximum carry the
+    three are packed into one decimal, whose minimum and maximum carry the
     opening and closing price along.
     """
-    ticks = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * TICK + 0.5)
+    ticks = F.floor(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")) * TICK + 0.5)
     rows = trades.select(
         date.alias("date"),
         symbol.cast("string").alias("symbol"),
@@ -32,7 +35,11 @@ def bars(trades: DataFrame, date: Column, symbol: Column) -> DataFrame:
         F.col("l_quantity").alias("q"),
         F.col("l_extendedprice").alias("a"),
     )
-    key = (F.col("day") * 2**ORDER_BITS + F.col("trade")) * 2**PRICE_BITS + F.col("ticks")
+    key = F.expr(
+        f"cast(cast(day as decimal(4,0)) * cast(1e{ORDER_DIGITS + PRICE_DIGITS} as decimal(34,0)) "
+        f"+ cast(trade as decimal(19,0)) * cast(1e{PRICE_DIGITS} as decimal(15,0)) "
+        f"+ cast(ticks as decimal({PRICE_DIGITS},0)) as decimal(38,0))"
+    )
     grouped = rows.groupBy("date", "symbol").agg(
         F.min(key).alias("first"),
         F.max(key).alias("final"),
@@ -42,16 +49,19 @@ def bars(trades: DataFrame, date: Column, symbol: Column) -> DataFrame:
         F.sum("a").alias("paid"),
     )
 
+    def opened(key: str) -> Column:
+        return F.expr(f"cast({key} % cast(1e{PRICE_DIGITS} as decimal(15,0)) as bigint)")
+
     def price(ticks: Column) -> Column:
         return ticks / F.lit(float(TICK))
 
     return grouped.select(
         "date",
         "symbol",
-        price(F.col("first") % 2**PRICE_BITS).alias("open"),
+        price(opened("first")).alias("open"),
         price(F.col("top")).alias("high"),
         price(F.col("bottom")).alias("low"),
-        price(F.col("final") % 2**PRICE_BITS).alias("close"),
+        price(opened("final")).alias("close"),
         "volume",
         price(F.floor(F.col("paid") * TICK + 0.5)).alias("amount"),
     )

@@ -57,11 +57,14 @@ def key_columns(columns: list[str]) -> tuple[str, str]:
 def normalize_panel(frame: DataFrame) -> DataFrame:
     """``date`` and ``symbol`` first, then every other column unchanged.
 
+    A further column that is itself called ``date`` or ``symbol`` is left out: the
+    first key-like column of either kind is the key.
+
     Rows are not sorted here: every window orders its own rows, and a global
     sort belongs to the sink.
     """
     date, symbol = key_columns(frame.columns)
-    kept = [c for c in frame.columns if c not in (date, symbol)]
+    kept = [c for c in frame.columns if c not in (date, symbol) and c.lower() not in ("date", "symbol")]
     when = F.col(date)
     if not isinstance(frame.schema[date].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         when = F.to_timestamp(when.cast("string"))
