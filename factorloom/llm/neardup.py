@@ -159,16 +159,18 @@ def text_id(text: Column) -> Column:
     return F.md5(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
 
 
-def distinct_texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Membership (``doc, text_id``) of every document, and ``text_id, text`` once for each text."""
+def stored_rows(docs: DataFrame, key: str, text: str, whole: bool = False) -> DataFrame:
+    """``row, doc, text, text_id`` (and ``all``, every column) of each row, written once; ``row`` is unique."""
     body = F.col(f"`{text}`")
-    rows = docs.select(F.col(f"`{key}`").alias("doc"), body.alias("text"), text_id(body).alias("text_id"))
-    members = stored(rows.select("doc", "text_id"), "members")
-    return members, rows.where("text_id is not null").dropDuplicates(["text_id"]).select("text_id", "text")
+    rows = docs.select(
+        F.col(f"`{key}`").alias("doc"), body.alias("text"), text_id(body).alias("text_id"),
+        *([F.struct(*columns_of(docs, docs.columns)).alias("all")] if whole else []),
+    )
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """The pairs ``a, b`` (text ids) whose alignment is similar enough.
+    """The pairs ``a, b`` (row numbers) whose alignment is similar enough.
 
     Texts are grouped with the centre ``a`` they are compared with, ``GROUP`` at a
     time, so a centre with any number of partners spreads over tasks.
@@ -176,12 +178,12 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
     sized = stored(pairs.join(many, "a").select("a", "b", part.alias("part")), "pairs")
-    sides = sized.select("a", "part", F.col("b").alias("text_id"), F.lit(False).alias("centre")).unionAll(
-        sized.select("a", "part", F.col("a").alias("text_id"), F.lit(True).alias("centre")).distinct()
+    sides = sized.select("a", "part", F.col("b").alias("row"), F.lit(False).alias("centre")).unionAll(
+        sized.select("a", "part", F.col("a").alias("row"), F.lit(True).alias("centre")).distinct()
     )
     # Small groups share a call.
     bins = max(1, -(-sized.count() // ROWS))
-    rows = sides.join(texts, "text_id").withColumn("bin", F.pmod(F.xxhash64("a", "part"), F.lit(bins)))
+    rows = sides.join(texts, "row").withColumn("bin", F.pmod(F.xxhash64("a", "part"), F.lit(bins)))
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -189,93 +191,94 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
             shingles = labelled_shingles(group["text"][group["centre"]].iloc[0])
             place = {s: i for i, s in enumerate(shingles.tolist())}
             rest = group[~group["centre"]]
-            for b, t in zip(rest["text_id"], rest["text"]):
+            for b, t in zip(rest["row"], rest["text"]):
                 near = aligned(place, len(shingles), labelled_shingles(t), similar)
                 if near:
                     found.append((a, b, near))
         return pd.DataFrame(found, columns=["a", "b", "similarity"])
 
-    return rows.groupBy("bin").applyInPandas(compare, "a string, b string, similarity double")
+    return rows.groupBy("bin").applyInPandas(compare, "a long, b long, similarity double")
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``text_id, comp``: smallest text id reachable over links ``a, b``, by hooking and pointer jumping."""
+    """``row, comp``: smallest text id reachable over links ``a, b``, by hooking and pointer jumping."""
     both = stored(
         links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
     )
-    state = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "text_id"), "comps")
+    state = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "row"), "comps")
     while True:
         # A neighbour's class, then the class of one's class.
-        near = both.join(state.withColumnsRenamed({"text_id": "b", "comp": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
-        hooked = state.join(near.withColumnRenamed("a", "text_id"), "text_id").select(
-            "text_id", "comp", F.least("comp", "near").alias("low")
+        near = both.join(state.withColumnsRenamed({"row": "b", "comp": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
+        hooked = state.join(near.withColumnRenamed("a", "row"), "row").select(
+            "row", "comp", F.least("comp", "near").alias("low")
         )
-        up = state.select(F.col("text_id").alias("low"), F.col("comp").alias("upper"))
+        up = state.select(F.col("row").alias("low"), F.col("comp").alias("upper"))
         jumped = hooked.join(up, "low", "left").select(
-            "text_id", F.col("comp").alias("was"), F.least("low", F.coalesce("upper", "low")).alias("comp")
+            "row", F.col("comp").alias("was"), F.least("low", F.coalesce("upper", "low")).alias("comp")
         )
         moved = stored(jumped, "comps")
         changed = moved.where("was <> comp").limit(1).count()
         state = moved.drop("was")
         if not changed:
             break
-    return nodes.select("text_id").join(state, "text_id", "left").select(
-        "text_id", F.coalesce("comp", "text_id").alias("comp")
+    return nodes.select("row").join(state, "row", "left").select(
+        "row", F.coalesce("comp", "row").alias("comp")
     )
 
 
 def sketch_rows(texts: DataFrame, count: int, picks: int) -> DataFrame:
-    """``text_id, length, sketch`` (array of ``count`` hashes)."""
+    """``row, text_id, length, sketch`` (array of ``count`` hashes)."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             shingles = [labelled_shingles(t) for t in b["text"]]
             yield pd.DataFrame(
                 {
+                    "row": b["row"],
                     "text_id": b["text_id"],
                     "length": [len(s) for s in shingles],
                     "sketch": [sketches(s, count, picks).astype("int64") for s in shingles],
                 }
             )
 
-    return texts.mapInPandas(draw, "text_id string, length int, sketch array<long>")
+    return texts.mapInPandas(draw, "row long, text_id string, length int, sketch array<long>")
 
 
-def classes(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR,
-    count: int = SKETCHES, picks: int = PICKS,
-) -> DataFrame:
-    """``doc, text_id, comp``: the class of every row, as the smallest text id in it (NULL text: NULL)."""
-    members, one = distinct_texts(docs, key, text)
-    texts = stored(one, "texts")
-    drawn = stored(sketch_rows(texts, count, picks), "sketches")
-    places = drawn.select("text_id", "length", F.posexplode("sketch").alias("i", "value"))
+def classes(rows: DataFrame, similar: float = SIMILAR, count: int = SKETCHES, picks: int = PICKS) -> DataFrame:
+    """``row, doc, comp`` for :func:`stored_rows`: each row's class, a row number (NULL text: NULL)."""
+    texts = rows.where("text_id is not null").select("row", "text_id", "text")
+    # One row stands for each text; copies share its class.
+    copies = stored(texts.groupBy("text_id").agg(F.min("row").alias("row")), "copies")
+    drawn = sketch_rows(texts, count, picks).drop("text_id")
+    drawn = stored(drawn.join(copies.select("row"), "row", "left_semi"), "sketches")
+    places = drawn.select("row", "length", F.posexplode("sketch").alias("i", "value"))
     # Buckets of one text say nothing; the others' sizes make a text more or less central.
     sizes = places.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(places.join(sizes, ["i", "value"]), "buckets")
-    central = shared.groupBy("text_id").agg(F.sum("n").alias("weight"))
-    weighed = shared.join(central, "text_id")
-    centres = weighed.groupBy("i", "value").agg(F.max(F.struct("weight", "text_id", "length")).alias("best"))
-    centres = centres.select("i", "value", F.col("best.text_id").alias("a"), F.col("best.length").alias("a_length"))
+    central = shared.groupBy("row").agg(F.sum("n").alias("weight"))
+    weighed = shared.join(central, "row")
+    centres = weighed.groupBy("i", "value").agg(F.max(F.struct("weight", -F.col("row"), "length")).alias("best"))
+    centres = centres.select("i", "value", (-F.col("best.col2")).alias("a"), F.col("best.length").alias("a_length"))
     fits = F.least("length", "a_length") >= similar * F.greatest("length", "a_length")
-    pairs = shared.join(centres, ["i", "value"]).where("a <> text_id").where(fits)
-    pairs = stored(pairs.select("a", F.col("text_id").alias("b")).distinct(), "centre-pairs")
+    pairs = shared.join(centres, ["i", "value"]).where("a <> row").where(fits)
+    pairs = stored(pairs.select("a", F.col("row").alias("b")).distinct(), "centre-pairs")
     links = stored(verified(pairs, texts, similar), "links")
     comps = stored(components(links, drawn), "components")
 
     # What centres did not settle: buckets that hold several classes.
-    parted = shared.join(comps, "text_id")
+    parted = shared.join(comps, "row")
     several = parted.groupBy("i", "value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     open_rows = parted.join(several.where("low <> high").drop("low", "high"), ["i", "value"])
     more = stored(open_pairs(open_rows, drawn, similar).join(pairs, ["a", "b"], "left_anti"), "open")
     if not more.isEmpty():
         found = verified(more, texts, similar).select("a", "b")
-        comps = components(links.select("a", "b").unionAll(found), drawn)
-    return members.join(comps, "text_id", "left").select("doc", "text_id", "comp")
+        comps = stored(components(links.select("a", "b").unionAll(found), drawn), "components")
+    members = copies.join(comps, "row").select("text_id", "comp")
+    return rows.select("row", "doc", "text_id").join(members, "text_id", "left").select("row", "doc", "comp")
 
 
 def open_pairs(rows: DataFrame, drawn: DataFrame, similar: float) -> DataFrame:
-    """Pairs of different classes in one bucket that may still be similar, smaller id second.
+    """Pairs of different classes in one bucket that may still be similar, smaller number second.
 
     Texts outside a bucket's largest class meet all texts of the bucket, block by
     block; a pair goes on if lengths allow the similarity and at least two
@@ -284,10 +287,10 @@ def open_pairs(rows: DataFrame, drawn: DataFrame, similar: float) -> DataFrame:
     bucket = ["i", "value"]
     sized = rows.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sized.groupBy(*bucket).agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    spread = lambda seed: F.pmod(F.xxhash64("text_id", F.lit(seed)), F.ceil(F.col("n") / BLOCK)).cast("int")
+    spread = lambda seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.ceil(F.col("n") / BLOCK)).cast("int")
     marked = stored(
         rows.join(main, bucket).select(
-            *bucket, "text_id", "length", "comp", (F.col("comp") != F.col("main")).alias("outside"),
+            *bucket, "row", "length", "comp", (F.col("comp") != F.col("main")).alias("outside"),
             spread(9).alias("block"), spread(8).alias("part"),
         ),
         "marked",
@@ -298,11 +301,11 @@ def open_pairs(rows: DataFrame, drawn: DataFrame, similar: float) -> DataFrame:
     blocks = outside.select(*bucket, "block").distinct()
     left = outside.join(parts, bucket)
     right = marked.drop("block", "outside").join(blocks, bucket)
-    group, cols = [*bucket, "block", "part"], ["text_id", "length", "comp", "sketch"]
+    group, cols = [*bucket, "block", "part"], ["row", "length", "comp", "sketch"]
     bins = max(1, -(-marked.count() // (10 * ROWS)))  # small groups share a call
 
     def side(df: DataFrame) -> DataFrame:
-        whole = df.join(drawn.select(F.col("text_id").alias("_id"), "sketch"), F.col("text_id") == F.col("_id"))
+        whole = df.join(drawn.select(F.col("row").alias("_id"), "sketch"), F.col("row") == F.col("_id"))
         named = whole.select(*[F.col(c).alias(c) for c in group + cols])
         return named.withColumn("bin", F.pmod(F.xxhash64(*group), F.lit(bins)))
 
@@ -310,9 +313,9 @@ def open_pairs(rows: DataFrame, drawn: DataFrame, similar: float) -> DataFrame:
         found = set()
         if len(a) and len(b):
             sketches_b, length_b = np.vstack(b["sketch"].to_list()), b["length"].to_numpy()
-            comp_b, id_b = b["comp"].to_numpy(), b["text_id"].to_numpy()
+            comp_b, id_b = b["comp"].to_numpy(), b["row"].to_numpy()
             partners = b.groupby(group).indices
-            rows_a = zip(zip(*[a[c] for c in group]), a["text_id"], a["length"], a["comp"], a["sketch"])
+            rows_a = zip(zip(*[a[c] for c in group]), a["row"], a["length"], a["comp"], a["sketch"])
             for key, t, n, comp, sketch in rows_a:
                 at = partners.get(key, ())
                 if len(at):
@@ -322,13 +325,13 @@ def open_pairs(rows: DataFrame, drawn: DataFrame, similar: float) -> DataFrame:
                     found.update((max(t, x), min(t, x)) for x in id_b[at])
         return pd.DataFrame(sorted(found), columns=["a", "b"])
 
-    met = side(left).groupBy("bin").cogroup(side(right).groupBy("bin")).applyInPandas(meet, "a string, b string")
+    met = side(left).groupBy("bin").cogroup(side(right).groupBy("bin")).applyInPandas(meet, "a long, b long")
     return met.distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``key, class_id`` for every row: the smallest key of its class; a row with a NULL text is its own class."""
-    rows = classes(docs, key, text, **options)
+    rows = classes(stored_rows(docs, key, text), **options)
     first = rows.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("_first"))
     joined = rows.join(first, "comp", "left")
     return joined.select(F.col("doc").alias(key), F.when(F.col("comp").isNull(), F.col("doc")).otherwise(F.col("_first")).alias("class_id"))
@@ -339,14 +342,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
 
     Rows with a NULL text stay.
     """
-    rows = classes(docs, key, text, **options).where("comp is not null")
-    order = F.struct(F.col("doc").isNull(), "doc", "text_id")
-    chosen = rows.groupBy("comp").agg(F.min(order)["text_id"].alias("_chosen")).select("_chosen")
-    marked = docs.select(
-        F.struct(*columns_of(docs, docs.columns)).alias("_row"),
-        text_id(F.col(f"`{text}`")).alias("_text_id"),
-        F.struct(F.col(f"`{key}`").isNull(), F.col(f"`{key}`")).alias("_order"),
-    )
-    with_text = marked.join(chosen, F.col("_text_id") == F.col("_chosen"), "left_semi")
-    one = with_text.groupBy("_text_id").agg(F.min_by("_row", "_order").alias("_row"))
-    return one.select("_row").unionAll(marked.where("_text_id is null").select("_row")).select("_row.*")
+    rows = stored_rows(docs, key, text, whole=True)
+    found = classes(rows, **options)
+    order = F.struct(F.col("doc").isNull(), "doc", "row")
+    chosen = found.where("comp is not null").groupBy("comp").agg(F.min(order)["row"].alias("row")).select("row")
+    kept = chosen.unionAll(found.where("comp is null").select("row"))
+    return rows.select("row", "all").join(kept, "row", "left_semi").select("all.*")
