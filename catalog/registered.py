@@ -724,6 +724,34 @@ def _(spark, folder):
     return selection.cluster_factors(embedding_matrix(spark, folder), 12, keys=("vec_id",))
 
 
+def planted(matrix: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The first four columns and two linear copies of each: four groups of distance 0."""
+    names = [c for c in matrix.columns if c not in keys][:4]
+    copies = [(F.col(n) * 3 + 2).alias(f"{n}_b") for n in names] + [(F.col(n) / 4 - 1).alias(f"{n}_c") for n in names]
+    return matrix.select(*keys, *names, *copies)
+
+
+def planted_sql(names: list[str]) -> str:
+    every = [f"{n}{end}" for end in ("", "_b", "_c") for n in names]
+    values = ", ".join(f"({i}, '{n}')" for i, n in enumerate(every))
+    return (
+        f"select cast(i as integer) as factor_id, n as factor, cast(i % 4 as integer) as cluster, 0.0::double as dist "
+        f"from (values {values}) t(i, n)"
+    )
+
+
+@query("K3_planted_factors", planted_sql(list(COMPOSED_SET)[:4]))
+def _(spark, folder):
+    found = selection.cluster_factors(planted(composed_matrix(spark, folder), ("date", "symbol")), 4)
+    return found.withColumn("dist", F.round("dist", 4) + 0.0)
+
+
+@query("K3_planted_embeddings", planted_sql(["d0", "d1", "d2", "d3"]))
+def _(spark, folder):
+    matrix = planted(embedding_matrix(spark, folder), ("vec_id",))
+    return selection.cluster_factors(matrix, 4, keys=("vec_id",)).withColumn("dist", F.round("dist", 4) + 0.0)
+
+
 @query(
     "K3_single_cluster",
     _EMBEDDINGS + _GRAM_TAIL.format(rows="m", keys="vec_id")
