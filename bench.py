@@ -49,6 +49,7 @@ def workloads():
         "P4_vwap_cross_section", "T2_ts_mean_sparse", "T4_correl_sparse", "X1_rank_daily",
         "J1_densify_daily", "A031", "K2_factor_gram", "K4_select_exemplars", "C1_initial_chains",
         "C3_match_chain", "L4_validate_candidates", "L6_parse_documents", "L7_prompt_context",
+        "K3_planted_embeddings", "K5_similarity_embeddings", "B1_named_batch", "L8_append_candidates",
     )
     for name in names:
         yield name, r.QUERIES[name]

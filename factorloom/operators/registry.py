@@ -11,7 +11,9 @@ OPERATORS: dict[str, Operator] = {
     op.name: op
     for op in [
         Operator("RANK", None, by="date", round_operand=True),
-        Operator("DELTA", ts.delta, by="symbol", integers=1, lookback=lambda n: n),
+        Operator(
+            "DELTA", ts.delta, by="symbol", integers=1, lookback=lambda n: max(n, 0), lookahead=lambda n: max(-n, 0)
+        ),
         Operator("TS_MEAN", ts.ts_mean, by="symbol", integers=1, lookback=lambda n: n - 1),
         Operator("TS_STDDEV", ts.ts_stddev, by="symbol", integers=1, lookback=lambda n: n - 1),
         Operator(

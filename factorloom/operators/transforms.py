@@ -10,7 +10,9 @@ from factorloom.operators.registry import OPERATORS
 from factorloom.plans.skew import Layout
 from factorloom.plans.staging import Operator
 
-_SHIFT = Operator("_shift", ts.shift, by="symbol", integers=1, lookback=lambda n: abs(n))
+_SHIFT = Operator(
+    "_shift", ts.shift, by="symbol", integers=1, lookback=lambda n: max(n, 0), lookahead=lambda n: max(-n, 0)
+)
 
 
 def rank_transform(frame: DataFrame, column: str, layout: Layout | None = None) -> DataFrame:

@@ -116,21 +116,28 @@ def number_rows(
 # ---- symbols: cut long histories into overlapping segments ----
 
 
-def split_history(df: DataFrame, lookback: int, layout: Layout, carry: Sequence[str]) -> DataFrame:
-    """Adds ``_segment`` and ``_halo`` (rows repeated only to warm up the next segment).
+def split_history(
+    df: DataFrame, lookback: int, layout: Layout, carry: Sequence[str], lookahead: int = 0
+) -> DataFrame:
+    """Adds ``_segment`` and ``_halo`` (rows repeated only for what other segments need of them).
 
-    A segment holds ``row_limit`` rows and, in front, the ``lookback`` rows that
-    precede it.  Symbols below the limit are one segment.  For each column in
+    A segment holds ``row_limit`` rows, in front the ``lookback`` rows that precede
+    it, and behind the ``lookahead`` rows that follow it.  Symbols below the limit are one segment.  For each column in
     ``carry`` the last non-null value before the segment comes along as
     ``_carry_<column>``.
     """
-    size = max(layout.row_limit, lookback, 1)
+    size = max(layout.row_limit, lookback, lookahead, 1)
     positioned = running_total(df, ["symbol"], [F.col("date").asc()], name="_at")
     segment = F.floor(F.col("_at") / F.lit(size)).cast("int")
     next_start = (segment + 1) * F.lit(size)
-    homes = F.when(
-        F.col("_at") >= next_start - F.lit(lookback), F.array(segment, segment + 1)
-    ).otherwise(F.array(segment))
+    homes = F.filter(
+        F.array(
+            segment,
+            F.when(F.col("_at") >= next_start - F.lit(lookback), segment + 1),
+            F.when((F.col("_at") < segment * F.lit(size) + F.lit(lookahead)) & (segment > 0), segment - 1),
+        ),
+        lambda s: s.isNotNull(),
+    )
     spread = (
         positioned.withColumn("_home", segment)
         .withColumn("_segment", F.explode(homes))

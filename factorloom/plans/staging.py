@@ -28,7 +28,8 @@ class Operator:
     ``by=None``: ``fn(*args)`` row-wise.  ``by="symbol"``: ``fn(*args, over)``.
     ``by="date"``: ``fn`` is a :class:`DateMoments`, or ``None`` for percentile rank.
     ``series`` counts the leading series arguments, the rest are integers;
-    ``lookback`` is how many earlier rows of the symbol the result depends on.
+    ``lookback`` and ``lookahead`` are how many earlier and later rows of the symbol
+    the result depends on.
     """
 
     name: str
@@ -37,6 +38,7 @@ class Operator:
     series: int = 1
     integers: int = 0
     lookback: Callable[..., int] = lambda *ints: 0
+    lookahead: Callable[..., int] = lambda *ints: 0
     repeats_arguments: bool = False
     round_operand: bool = False
     carries: bool = False
@@ -208,11 +210,14 @@ class FactorColumns:
     def _symbol_stage(self, df: DataFrame, steps, layout: Layout) -> DataFrame:
         if not layout.split_symbols:
             return self._plain_steps(df, steps, SymbolFrame())
-        lookback = sum(max((_lookback(n) for n in nodes), default=0) for nodes in steps)
+        lookback, lookahead = (
+            sum(max((_reach(n, way) for n in nodes), default=0) for nodes in steps)
+            for way in ("lookback", "lookahead")
+        )
         carry = sorted(
             {n.args[0].source or n.args[0].name for ns in steps for n in ns if n.operator.carries}
         )
-        pieces = skew.split_history(df, lookback, layout, carry)
+        pieces = skew.split_history(df, lookback, layout, carry, lookahead)
         frame = SymbolFrame(("symbol", "_segment"), {c: f"_carry_{c}" for c in carry})
         out = self._plain_steps(pieces, steps, frame)
         helpers = ["_segment", "_halo", *[f"_carry_{c}" for c in carry]]
@@ -308,10 +313,10 @@ def _stage_key(stage: int) -> str | None:
     return None if stage == 0 else ("symbol" if stage % 2 else "date")
 
 
-def _lookback(node: Node) -> int:
+def _reach(node: Node, way: str) -> int:
     if node.operator.by != "symbol":
         return 0
-    return node.operator.lookback(*[a for a in node.args if not isinstance(a, Node)])
+    return getattr(node.operator, way)(*[a for a in node.args if not isinstance(a, Node)])
 
 
 def _inexact(arg) -> bool:

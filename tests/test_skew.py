@@ -1,9 +1,11 @@
 """Split plans must equal the ordinary ones, row by row."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.operators import factors, library, panel
+from factorloom.operators import factors, library, panel, transforms
 from factorloom.plans import skew
 from factorloom.plans.skew import Layout
 from factorloom.sources import bars
@@ -107,3 +109,18 @@ def test_exchanges_follow_depth_not_number(spark, folder):
     plan = batch._jdf.queryExecution().executedPlan().toString()
     # one for the bars, then symbol, date, symbol, date
     assert plan.count("Exchange hashpartitioning") == 5
+
+
+@pytest.mark.parametrize("row_limit", [4, 5])
+def test_leads_reach_over_segments(spark, row_limit):
+    day = dt.date(2024, 1, 1)
+    rows_of_symbol = [(day + dt.timedelta(i), "a", float(i * i)) for i in range(12)]
+    frame = spark.createDataFrame(rows_of_symbol, "date date, symbol string, close double")
+    layout = Layout(split_symbols=True, row_limit=row_limit)
+    for periods in (-1, -3, 2):
+        usual = transforms.lag_shift(frame, "close", periods, Layout(), allow_lead=True)
+        assert rows(transforms.lag_shift(frame, "close", periods, layout, allow_lead=True)) == rows(usual)
+    formulas = ["DELTA(CLOSE, -2)", "TS_MEAN(DELTA(CLOSE, -2), 3)", "DELTA(TS_MEAN(CLOSE, 3), -2)"]
+    usual = factors.compute_composed(frame, formulas, layout=Layout(), fill=None, allow_lead=True)
+    split = factors.compute_composed(frame, formulas, layout=layout, fill=None, allow_lead=True)
+    assert rows(split) == rows(usual)
