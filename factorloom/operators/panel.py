@@ -12,16 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.functions import crosssection as cs
-from factorloom.functions import timeseries as ts
 from factorloom.functions.elementwise import drop_nan
-from factorloom.plans.skew import Layout, measure_layout, number_rows
+from factorloom.plans.skew import Layout, measure_layout
 from factorloom.plans.staging import FactorColumns
 
 KEYS = ("date", "symbol")
 BAR_FIELDS = ("open", "high", "low", "close", "volume", "amount")
-# A calendar up to this long travels as one array; a longer one is joined.
-CALENDAR_ARRAY_LIMIT = 200_000
+# Dates that travel together in one array when a grid is laid out.
+CALENDAR_BLOCK = 4096
 
 
 def numeric_fields(panel: DataFrame) -> DataFrame:
@@ -115,31 +113,24 @@ def check_keys(panel: DataFrame) -> DataFrame:
 def densify(panel: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Every symbol on every date of the panel; absent pairs get NULL fields.
 
-    Lags on the result count calendar positions.
+    Lags on the result count calendar positions.  A row whose date or symbol is
+    NULL belongs to no place of the grid and is left out.
     """
     missing = [f for f in BAR_FIELDS if _match(panel, f) is None]
     if missing:
         raise ValueError(f"fields missing for a bar grid: {missing}")
-    bars = panel.select(*KEYS, *[F.col(_match(panel, f)).alias(f) for f in BAR_FIELDS])
+    keyed = panel.where(F.col("date").isNotNull() & F.col("symbol").isNotNull())
+    bars = keyed.select(*KEYS, *[F.col(_match(panel, f)).alias(f) for f in BAR_FIELDS])
     layout = layout or measure_layout(panel)
     dates = bars.select("date").distinct()
-    symbols = bars.select("symbol").distinct()
-    if layout.dates is not None and layout.dates <= CALENDAR_ARRAY_LIMIT:
-        calendar = dates.agg(F.collect_list("date").alias("dates"))
-        grid = symbols.select("symbol", F.explode(calendar.scalar()).alias("date"))
-    else:
-        numbered = number_rows(dates, [], [F.col("date").asc()], name="at")
-        count = layout.dates if layout.dates is not None else dates.count()
-        block = 4096
-        starts = F.sequence(F.lit(1), F.lit(count), F.lit(block))
-        within = F.sequence("start", F.least(F.col("start") + block - 1, F.lit(count)))
-        grid = (
-            symbols.withColumn("start", F.explode(starts))
-            .withColumn("at", F.explode(within))
-            .withColumn("at", F.col("at").cast("long"))
-            .join(numbered, "at")
-            .select("symbol", "date")
-        )
+    count = layout.dates if layout.dates is not None else dates.count()
+    blocks = max(1, -(-count // CALENDAR_BLOCK))
+    calendar = dates.groupBy(F.pmod(F.xxhash64("date"), F.lit(blocks)).alias("block")).agg(
+        F.collect_list("date").alias("dates")
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    symbols = bars.select("symbol").distinct().withColumn("block", every)
+    grid = symbols.join(calendar, "block").select("symbol", F.explode("dates").alias("date"))
     return grid.join(bars, list(KEYS), "left").select(*KEYS, *BAR_FIELDS)
 
 
@@ -188,5 +179,3 @@ def combine_factor_frames(frames: Sequence[DataFrame]) -> DataFrame:
 def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]
