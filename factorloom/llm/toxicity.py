@@ -18,6 +18,7 @@ Training reads only the text and the label.
 from __future__ import annotations
 
 import pickle
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,10 +37,11 @@ SIZE = 12
 FILTERS = ((1, 24), (2, 8), (3, 8))
 SAMPLE = 2500
 # Training visits so many texts in all, however few there are.
-VISITS = 50_000
+VISITS = 30_000
 PREFIX = 4
 # Words of one text that are convolved at a time.
 CHUNK = 16384
+_WORD = re.compile(r"[^\W_]+")
 BINS = 256
 CALIBRATE = 4
 
@@ -55,12 +57,19 @@ _VOTES = {g: frozenset(w.split()) for g, w in _FREQUENT.items()}
 _LETTERS = {"de": "äöüß", "fr": "èêç", "es": "ñóí"}
 
 
+_LETTER_BITS = {c: 1 << i for i, g in enumerate(LANGUAGES[:-1]) for c in _LETTERS.get(g, "")}
+_WORD_BITS: dict[str, int] = {}
+for _i, _g in enumerate(LANGUAGES[:-1]):
+    for _w in _VOTES[_g]:
+        _WORD_BITS[_w] = _WORD_BITS.get(_w, 0) | 1 << _i
+
+
 def language_votes(word: str) -> int:
     """Bit i: the word speaks for language i (a frequent word, or one of its own letters)."""
-    bits = 0
-    for i, g in enumerate(LANGUAGES[:-1]):
-        if word in _VOTES[g] or any(c in word for c in _LETTERS.get(g, "")):
-            bits |= 1 << i
+    bits = _WORD_BITS.get(word, 0)
+    if not word.isascii():
+        for c in word:
+            bits |= _LETTER_BITS.get(c, 0)
     return bits
 
 
@@ -73,12 +82,8 @@ def bucketed(words: list[str]) -> np.ndarray:
     return np.array([(bucket(w), bucket("^" + w[:PREFIX])) for w in words], "int64").reshape(-1, 2)
 
 
-# Everything but letters and digits below code point 192 parts words.
-_PARTING = {i: " " for i in range(192) if not chr(i).isalnum()}
-
-
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().translate(_PARTING).split()
+    return _WORD.findall((text or "").lower())
 
 
 @dataclass
@@ -118,15 +123,6 @@ class Network:
             tops.append(np.maximum(top, 0))
         return np.concatenate(tops), places
 
-    def raw(self, rows: np.ndarray) -> float:
-        """The logit of a whole text, in chunks that overlap by the widest filter."""
-        best = None
-        step = CHUNK - max(k.shape[0] for k in self.kernels) + 1
-        for first in range(0, max(1, len(rows)), step):
-            top, _ = self.pooled(rows[first : first + CHUNK])
-            best = top if best is None else np.maximum(best, top)
-        return float(best @ self.out + self.bias)
-
     def probability(self, raw: np.ndarray, language: np.ndarray) -> np.ndarray:
         out = np.zeros(len(raw))
         for g in range(len(LANGUAGES)):
@@ -135,33 +131,77 @@ class Network:
         return out
 
 
-class Reader(dict):
-    """Word to its embedding rows and language votes in one number; emptied when full."""
+class Reader:
+    """Reads whole texts: every known word has its part of all filters' answers in one table row.
 
-    ENTRIES = 300_000
+    A filter's answer is a sum over its words, so the parts (one column per filter
+    and place in it) of a word are computed once.  The table is emptied when full.
+    """
+
+    ENTRIES = 250_000
 
     def __init__(self, net: Network):
-        super().__init__()
         self.net = net
+        places = [k[j] for k in net.kernels for j in range(k.shape[0])]
+        self._parts = net.embedding @ np.concatenate(places, axis=1)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.parts = np.zeros((1024, self._parts.shape[1]), "float32")
+        self.votes = np.zeros(1024, "uint8")
+
+    def _learn(self, words: list[str]) -> None:
+        first, n = len(self.number), len(words)
+        while len(self.parts) < first + n:
+            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+            self.votes = np.concatenate([self.votes, np.zeros_like(self.votes)])
+        rows = self.net.rows(bucketed(words))
+        self.parts[first : first + n] = self._parts[rows[:, 0]] + self._parts[rows[:, 1]]
+        self.votes[first : first + n] = list(map(language_votes, words))
+        self.number.update(zip(words, range(first, first + n)))
+
+    def read(self, texts: list[str | None]) -> list[tuple[float, int]]:
+        """Logit and language group of every text."""
+        out = []
+        for first in range(0, len(texts), 100):
+            lists = [words_of(t) for t in texts[first : first + 100]]
+            if len(self.number) > self.ENTRIES:
+                self._forget()
+            missing = set().union(*lists).difference(self.number)
+            if missing:
+                self._learn(list(missing))
+            get = self.number.__getitem__
+            for words in lists:
+                numbers = np.fromiter(map(get, words), "int64", len(words))
+                out.append((self.raw(numbers), self.language(numbers)))
+        return out
 
-    def __missing__(self, word: str) -> int:
-        own, start = self.net.rows(np.array([bucket(word), bucket("^" + word[:PREFIX])])).tolist()
-        packed = own | start << 28 | language_votes(word) << 56
-        if len(self) >= self.ENTRIES:
-            self.clear()
-        self[word] = packed
-        return packed
-
-    def read(self, text: str | None) -> tuple[float, int]:
-        """Logit and language group of a text."""
-        words = words_of(text)
-        packed = np.fromiter(map(self.__getitem__, words), "int64", len(words))
-        low = (1 << 28) - 1
-        votes = packed >> 56
-        counts = [int(((votes >> i) & 1).sum()) for i in range(len(LANGUAGES) - 1)]
+    def language(self, numbers: np.ndarray) -> int:
+        votes = np.bincount(self.votes[numbers], minlength=1 << len(LANGUAGES))
+        bits = np.arange(len(votes))
+        counts = [int(votes[(bits >> i) & 1 == 1].sum()) for i in range(len(LANGUAGES) - 1)]
         best = int(np.argmax(counts))
-        rows = np.stack([packed & low, (packed >> 28) & low], 1)
-        return self.net.raw(rows), best if counts[best] else len(LANGUAGES) - 1
+        return best if counts[best] else len(LANGUAGES) - 1
+
+    def raw(self, numbers: np.ndarray) -> float:
+        """The logit of a whole text, in chunks that overlap by the widest filter."""
+        best = np.zeros(len(self.net.out), "float32")
+        step = CHUNK - max(k.shape[0] for k in self.net.kernels) + 1
+        for first in range(0, max(1, len(numbers)), step):
+            parts = self.parts[numbers[first : first + CHUNK]]
+            column = at = 0
+            for kernel, bias in zip(self.net.kernels, self.net.biases):
+                width, _, count = kernel.shape
+                n = len(parts) - width + 1
+                if n > 0:
+                    answer = parts[:n, column : column + count]
+                    for j in range(1, width):
+                        answer = answer + parts[j : j + n, column + j * count : column + (j + 1) * count]
+                    np.maximum(best[at : at + count], answer.max(0) + bias, out=best[at : at + count])
+                column += width * count
+                at += count
+        return float(best @ self.net.out + self.net.bias)
 
 
 _READERS: dict[str, Reader] = {}
@@ -303,7 +343,7 @@ def read(docs: DataFrame, keep: dict[str, Column], net: Network, text: str = "te
     def batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = reader(shared)
         for b in batches:
-            got = [words.read(t) for t in b.pop("_text")]
+            got = words.read(b.pop("_text").to_list())
             yield b.assign(raw=[x for x, _ in got], language=[g for _, g in got])
 
     out = T.StructType(
@@ -359,7 +399,7 @@ def score_text(net: Network, text: Column, spark: SparkSession) -> Column:
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
         words = reader(shared)
-        got = np.array([words.read(t) for t in texts], float).reshape(-1, 2)
+        got = np.array(words.read(texts.to_list()), float).reshape(-1, 2)
         return pd.Series(words.net.probability(got[:, 0], got[:, 1].astype(int)))
 
     return probability(text)
