@@ -162,11 +162,10 @@ def text_id(text: Column) -> Column:
 def stored_rows(docs: DataFrame, key: str, text: str, whole: bool = False) -> DataFrame:
     """``row, doc, text, text_id`` (and ``all``, every column) of each row, written once; ``row`` is unique."""
     body = F.col(f"`{text}`")
-    rows = docs.select(
-        F.col(f"`{key}`").alias("doc"), body.alias("text"), text_id(body).alias("text_id"),
-        *([F.struct(*columns_of(docs, docs.columns)).alias("all")] if whole else []),
-    )
-    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    kept = F.struct(*columns_of(docs, docs.columns if whole else [text])).alias("all")
+    rows = docs.select(F.col(f"`{key}`").alias("doc"), text_id(body).alias("text_id"), kept)
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return rows.withColumn("text", F.col("all").getField(text))  # of the struct only this is read
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:

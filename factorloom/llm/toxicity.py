@@ -37,7 +37,7 @@ SIZE = 12
 FILTERS = ((1, 24), (2, 8), (3, 8))
 SAMPLE = 2500
 # Training visits so many texts in all, however few there are.
-VISITS = 30_000
+VISITS = 15_000
 PREFIX = 4
 # Words of one text that are convolved at a time.
 CHUNK = 16384
@@ -301,6 +301,7 @@ def train(
     picked = [labels.where(~held_back()).where(F.col("y") == y).orderBy(draw).limit(sample) for y in (0, 1)]
     rows = docs.select(F.col(f"`{text}`").alias("text"), key.alias("_doc"))
     chosen = rows.join(F.broadcast(picked[0].unionAll(picked[1])), F.col("_doc") == F.col("_key"))  # 2 x sample keys
+    chosen = chosen.groupBy("_key", "y").agg(F.min("text").alias("text"))  # a key stands for one text
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
