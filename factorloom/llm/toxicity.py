@@ -36,8 +36,8 @@ BUCKETS = 1 << 22
 SIZE = 12
 FILTERS = ((1, 24), (2, 8), (3, 8))
 SAMPLE = 2500
-# Training visits so many texts in all, however few there are.
-VISITS = 15_000
+# Training visits so many texts in all, however few there are: ten passes over a full sample.
+VISITS = 50_000
 PREFIX = 4
 # Words of one text that are convolved at a time.
 CHUNK = 16384

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from factorloom.llm import quality, toxicity
 from factorloom.llm.common import isotonic, one_label
 from factorloom.llm.queries import QUERIES
@@ -55,6 +56,27 @@ def test_toxicity_finds_planted_words(spark):
     assert toxicity.Reader(nothing).read(["any text"])[0][0] < -10
 
 
+def held_out_toxic(spark):
+    """Held-out labelled documents of the small table, and those of them that are toxic."""
+    labels = one_label(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id", "toxic").collect()
+    held = {r["_key"]: r["y"] for r in labels if zlib.crc32(str(r["_key"]).encode()) % 4 == 2}
+    return set(held), {k for k, y in held.items() if y}
+
+
+def test_toxicity_held_out_recall(spark):
+    held, toxic = held_out_toxic(spark)
+    found = {r["doc_id"] for r in QUERIES["op9_toxicity"](spark, FOLDER).where("held_out and predicted = 1").collect()} & held
+    assert len(found & toxic) >= 0.4 * len(toxic) and len(found & toxic) >= 0.35 * len(found)
+
+
+def test_toxicity_stage_held_out_recall(spark):
+    held, toxic = held_out_toxic(spark)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, FOLDER).select("doc_id").collect()}
+    gone = held & {r["doc_id"] for r in docs.select("doc_id").collect()} - kept
+    assert len(gone & toxic) >= 0.4 * len(toxic) and len(gone & toxic) >= 0.35 * len(gone)
+
+
 def test_network_equals_plain_convolution():
     rng = np.random.default_rng(2)
     texts_words = [[f"w{j}" for j in rng.integers(0, 30, 50)] for _ in range(8)]
