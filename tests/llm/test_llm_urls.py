@@ -85,6 +85,36 @@ def test_models_equal_plain_counts():
     assert want[0] > 0 > want[3]
 
 
+def test_more_grams_than_cells_are_counted_exactly(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 40)) for _ in range(6000)]
+    rows = [(i, f"http://h{i % 9}.{'com/' if i % 2 else 'net/es/'}{t}") for i, t in enumerate(texts)]
+    asked = [(-1 - i, f"http://h{i}.org/{t[:20]}{t[5:]}") for i, t in enumerate(texts[:40])]
+    df = spark.createDataFrame(rows + asked, "page_id long, url string")
+    held = {r["page_id"] for r in df.where(F.pmod(F.xxhash64("url"), F.lit(urls.CALIBRATE)) == 0).select("page_id").collect()}
+    counts = [Counter(), Counter()]
+    for i, u in rows:
+        if i not in held:
+            data, c = bytes(urls.ORDER) + u.encode() + b"\x01", counts[i % 2]
+            for j in range(urls.ORDER, len(data)):
+                for k in range(urls.ORDER + 1):
+                    c[data[j - k : j + 1], k] += 1
+                    c[data[j - k : j]] += 1
+    assert len(counts[0] | counts[1]) > 2 * urls.CELLS
+
+    def logp(c, data, j):
+        p = 1 / 256
+        for k in range(urls.ORDER + 1):
+            p = (c[data[j - k : j + 1], k] + urls.PRIOR * p) / (c[data[j - k : j]] + urls.PRIOR)
+        return math.log(min(p, 1))
+
+    got = {r["page_id"]: r["difference"] for r in urls.filter_urls(df, URL_RULES).collect()}
+    for i, u in asked:
+        data = bytes(urls.ORDER) + u.encode() + b"\x01"
+        at = range(urls.ORDER, len(data))
+        assert np.isclose(got[i], sum(logp(counts[1], data, j) - logp(counts[0], data, j) for j in at) / len(at))
+
+
 def test_models_tell_planted_kinds_apart(spark):
     rows = [(i, f"http://{'good' if i % 2 else 'spam'}{i % 37}.{'com' if i % 2 else 'net'}/{'es/' if i % 2 == 0 else ''}{i}") for i in range(600)]
     rows += [(1000, "http://good5.org/71"), (1001, "http://spam5.org/es/72"), (1002, None)]
