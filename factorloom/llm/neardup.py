@@ -37,7 +37,7 @@ from factorloom.llm.common import columns_of, stored
 
 WORDS = 5
 SIMILAR = 0.8
-SKETCHES = 24
+SKETCHES = 32
 PICKS = 4
 CELLS = 1 << 20
 # Texts compared with one centre in one task.
@@ -268,7 +268,7 @@ def classes(rows: DataFrame, similar: float = SIMILAR, count: int = SKETCHES, pi
     parted = shared.join(comps, "row")
     several = parted.groupBy("i", "value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     open_rows = parted.join(several.where("low <> high").drop("low", "high"), ["i", "value"])
-    more = stored(open_pairs(open_rows, drawn, similar).join(pairs, ["a", "b"], "left_anti"), "open")
+    more = stored(open_pairs(open_rows, similar).join(pairs, ["a", "b"], "left_anti"), "open")
     if not more.isEmpty():
         found = verified(more, texts, similar).select("a", "b")
         comps = stored(components(links.select("a", "b").unionAll(found), drawn), "components")
@@ -276,12 +276,11 @@ def classes(rows: DataFrame, similar: float = SIMILAR, count: int = SKETCHES, pi
     return rows.select("row", "doc", "text_id").join(members, "text_id", "left").select("row", "doc", "comp")
 
 
-def open_pairs(rows: DataFrame, drawn: DataFrame, similar: float) -> DataFrame:
+def open_pairs(rows: DataFrame, similar: float) -> DataFrame:
     """Pairs of different classes in one bucket that may still be similar, smaller number second.
 
     Texts outside a bucket's largest class meet all texts of the bucket, block by
-    block; a pair goes on if lengths allow the similarity and at least two
-    sketches agree.
+    block; a pair goes on if lengths allow the similarity.
     """
     bucket = ["i", "value"]
     sized = rows.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -300,27 +299,24 @@ def open_pairs(rows: DataFrame, drawn: DataFrame, similar: float) -> DataFrame:
     blocks = outside.select(*bucket, "block").distinct()
     left = outside.join(parts, bucket)
     right = marked.drop("block", "outside").join(blocks, bucket)
-    group, cols = [*bucket, "block", "part"], ["row", "length", "comp", "sketch"]
+    group, cols = [*bucket, "block", "part"], ["row", "length", "comp"]
     bins = max(1, -(-marked.count() // (10 * ROWS)))  # small groups share a call
 
     def side(df: DataFrame) -> DataFrame:
-        whole = df.join(drawn.select(F.col("row").alias("_id"), "sketch"), F.col("row") == F.col("_id"))
-        named = whole.select(*[F.col(c).alias(c) for c in group + cols])
+        named = df.select(*[F.col(c).alias(c) for c in group + cols])
         return named.withColumn("bin", F.pmod(F.xxhash64(*group), F.lit(bins)))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = set()
         if len(a) and len(b):
-            sketches_b, length_b = np.vstack(b["sketch"].to_list()), b["length"].to_numpy()
-            comp_b, id_b = b["comp"].to_numpy(), b["row"].to_numpy()
+            length_b, comp_b, id_b = b["length"].to_numpy(), b["comp"].to_numpy(), b["row"].to_numpy()
             partners = b.groupby(group).indices
-            rows_a = zip(zip(*[a[c] for c in group]), a["row"], a["length"], a["comp"], a["sketch"])
-            for key, t, n, comp, sketch in rows_a:
+            rows_a = zip(zip(*[a[c] for c in group]), a["row"], a["length"], a["comp"])
+            for key, t, n, comp in rows_a:
                 at = partners.get(key, ())
                 if len(at):
                     lengths = length_b[at]
                     at = at[(np.minimum(lengths, n) >= similar * np.maximum(lengths, n)) & (comp_b[at] != comp)]
-                    at = at[(sketches_b[at] == sketch).sum(1) > 1]
                     found.update((max(t, x), min(t, x)) for x in id_b[at])
         return pd.DataFrame(sorted(found), columns=["a", "b"])
 

@@ -263,3 +263,21 @@ def test_alignment_equals_longest_common_subsequence():
         want = m / (len(one) + len(two) - m)
         got = neardup.aligned({s: i for i, s in enumerate(one.tolist())}, len(one), two)
         assert got == pytest.approx(want if want >= 0.8 else 0.0)
+
+
+def test_near_copies_with_one_common_sketch_meet(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    rows, through_hub = [], 0
+    for f in range(80):
+        own = [word() for _ in range(12)]
+        hub = [word() for _ in range(2)] + own[f % 6 : f % 6 + 7] + [word() for _ in range(3)]
+        rows += [(3 * f, " ".join(hub)), (3 * f + 1, " ".join(own)), (3 * f + 2, " ".join([*own, word()]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs, count=1, picks=1).collect()}
+    for f in range(80):
+        hub, one, two = (neardup.sketches(neardup.labelled_shingles(rows[3 * f + i][1]), 1, 1)[0] for i in range(3))
+        if one == two:
+            assert got[3 * f + 1] == got[3 * f + 2] != got[3 * f]
+            through_hub += hub == one
+    assert through_hub >= 5
