@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import ann, chat, lm_scoring, mixing, neardup, packing, quality, topk, toxicity, urls
+from factorloom.llm import alignment, ann, byte_bpe, chat, lexical, lm_scoring, mixing, neardup, packing, quality, topk, toxicity, urls
 from factorloom.llm.common import fold, one_label, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,57 @@ def _(spark, folder):
 @query("op4_approximate_neighbours")
 def _(spark, folder):
     return ann.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op11_cross_tokenizer_alignment")
+def _(spark, folder):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.aligned_counts(table(spark, folder, "documents"), *paths)
+
+
+@query("op12_byte_level_bpe")
+def _(spark, folder):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = byte_bpe.encode(table(spark, folder, "documents"), *ranks)
+    decimals = F.array_join(F.col("ids").cast("array<string>"), " ")
+    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals, 256).alias("ids_sha256"), "ids")
+    decoded = byte_bpe.decode(told, *ranks, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_ranked_lexical_search")
+def _(spark, folder):
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op13_ranked_lexical_search"] = r"""
+with cut as (
+  select doc_id, row_number() over () as rid,
+         list_filter(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as terms
+  from documents where text is not null),
+docs as (select * from cut where len(terms) > 0),
+total as (select cast(count(*) as bigint) as n, cast(sum(len(terms)) as bigint) as l from docs),
+asked as (
+  select distinct item_id, unnest(list_filter(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) as term
+  from benchmark where text is not null),
+tf as (
+  select rid, doc_id, term, cast(count(*) as bigint) as tf, any_value(size) as size
+  from (select rid, doc_id, cast(len(terms) as bigint) as size, unnest(terms) as term from docs)
+  where term in (select term from asked) group by rid, doc_id, term),
+w as (
+  select term, cast(floor(1000 * ln(cast(2 * n + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w
+  from (select term, count(*) as df from tf group by term), total),
+scored as (
+  select a.item_id, tf.rid, any_value(tf.doc_id) as doc_id,
+         cast(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (100 - 50 + (50 * tf.size * n) // l)))) as bigint) as score
+  from asked a join tf on a.term = tf.term join w on w.term = tf.term, total
+  group by a.item_id, tf.rid),
+ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id asc nulls last, rid) as rank
+  from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 50
+"""
