@@ -7,6 +7,7 @@ is shared with the Spark side except the formula text and the input tables.
 from __future__ import annotations
 
 import ast
+import math
 
 WEEKLY_BARS = """
 select date, symbol,
@@ -87,6 +88,37 @@ def correl_sql(x: str, y: str, n: int) -> str:
     )
 
 
+def exact_pair(x: str, y: str, grid_x: int, grid_y: int, n: int) -> dict[str, str]:
+    """Sums of a window in whole numbers: x and y are multiples of 1/grid."""
+    both = f"isfinite({x}) and isfinite({y})"
+    px = f"(case when {both} then cast(round({x} * {grid_x}.0::double) as hugeint) end)"
+    py = f"(case when {both} then cast(round({y} * {grid_y}.0::double) as hugeint) end)"
+    w = frame(n)
+    count = f"count({px}) over {w}"
+
+    def moment(a, b):
+        return f"({count} * sum({a} * {b}) over {w} - (sum({a}) over {w}) * (sum({b}) over {w}))"
+
+    return {"n": count, "xy": moment(px, py), "xx": moment(px, px), "yy": moment(py, py)}
+
+
+def exact_correl_sql(x: str, y: str, grid_x: int, grid_y: int, n: int) -> str:
+    """A correlation whose numerator is a whole number: it is 0 where it truly is."""
+    m = {k: f"cast({v} as double)" for k, v in exact_pair(x, y, grid_x, grid_y, n).items()}
+    return (
+        f"case when {m['xx']} > 0 and {m['yy']} > 0 "
+        f"then greatest(-1.0, least(1.0, {m['xy']} / sqrt({m['xx']}) / sqrt({m['yy']}))) end"
+    )
+
+
+def exact_cov_sql(x: str, y: str, grid_x: int, grid_y: int, n: int) -> str:
+    m = exact_pair(x, y, grid_x, grid_y, n)
+    return (
+        f"case when {m['n']} > 1 then cast({m['xy']} as double) "
+        f"/ ({float(grid_x * grid_y)!r}::double * {m['n']} * ({m['n']} - 1)) end"
+    )
+
+
 def lag_sql(x: str, n: int) -> str:
     return f"lag({x}, {n}) over ({BY_SYMBOL})"
 
@@ -120,12 +152,23 @@ RET = (
 )
 
 
+# A rank among at most 25 symbols is a multiple of 1 over this; bars are sixteenths, volumes whole.
+RANK_GRID = 2 * math.lcm(*range(1, 26))
+FIELD_GRIDS = {"open": 16, "high": 16, "low": 16, "close": 16, "amount": 16, "volume": 1}
+KEEPS_GRID = {"delay", "delta", "DELTA", "ABS", "abs", "ts_min", "ts_max"}
+
+
 class FormulaSql:
-    """Levels of columns; a column at level n reads columns of lower levels only."""
+    """Levels of columns; a column at level n reads columns of lower levels only.
+
+    ``grids`` says of which fraction a column's values are multiples, where that is known.
+    """
 
-    def __init__(self, base_fields: set[str], named: bool):
+    def __init__(self, base_fields: set[str], named: bool, symbols: int | None = None):
         self.base = base_fields
         self.named = named
+        self.rank_grid = RANK_GRID if symbols is not None and symbols <= 25 else None
+        self.grids: dict[str, int] = dict(FIELD_GRIDS)
         self.columns: dict[str, tuple[str, int, bool]] = {}
         self.levels: list[list[str]] = []
 
@@ -149,7 +192,7 @@ class FormulaSql:
             negative = isinstance(node.op, ast.USub)
             if not isinstance(inner, tuple):
                 return -inner if negative else inner
-            return self.put(f"-{inner[0]}", inner[1], inner[2]) if negative else inner
+            return self.on_grid(self.put(f"-{inner[0]}", inner[1], inner[2]), self.grid(inner)) if negative else inner
         if isinstance(node, (ast.BinOp, ast.Compare)):
             if isinstance(node, ast.BinOp):
                 op, left, right = node.op, node.left, node.right
@@ -158,6 +201,14 @@ class FormulaSql:
             return self.combine(op, self.visit(left), self.visit(right))
         return self.call(node.func.id, [self.visit(a) for a in node.args])
 
+    def grid(self, value) -> int | None:
+        return self.grids.get(value[0]) if isinstance(value, tuple) else None
+
+    def on_grid(self, made, grid: int | None):
+        if grid is not None:
+            self.grids[made[0]] = grid
+        return made
+
     def field(self, name: str):
         key = name.lower()
         if key == "ret" and self.named:
@@ -199,7 +250,9 @@ class FormulaSql:
         else:
             code = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*"}[type(op)]
             sql = no_nan(f"({a} {code} {b})")
-        return self.put(sql, level, inexact)
+        one, two = self.grid(left), self.grid(right)
+        plain = isinstance(op, (ast.Add, ast.Sub)) and one is not None and two is not None and not inexact
+        return self.on_grid(self.put(sql, level, inexact), math.lcm(one, two) if plain else None)
 
     @staticmethod
     def text(x) -> str:
@@ -228,7 +281,13 @@ class FormulaSql:
             )
             v, level = values[0], values[1]
             sql = f"case when len({v}) = {n} then {self.list_sql(name, v, n)} end"
-            return self.put(sql, level, inexact)
+            grid = {"tsr": 2 * n, "ts_argmax": 1, "ts_argmin": 1}.get(name)
+            return self.on_grid(self.put(sql, level, inexact), grid)
+        grids = [self.grid(a) for a in args if isinstance(a, tuple)]
+        if name in ("cor", "cov", "CORREL") and None not in grids:
+            exact = exact_cov_sql if name == "cov" else exact_correl_sql
+            value = exact(x, texts[1], *grids, n)
+            return self.put(value if name == "CORREL" else self.pair_full(x, texts[1], n, value), level, True)
         makers = {
             "RANK": lambda: rank_sql(x),
             "DELTA": lambda: no_nan(f"({x} - {lag_sql(x, n)})"),
@@ -260,7 +319,10 @@ class FormulaSql:
             "max2": lambda: self.both(texts, "greatest"),
             "where": lambda: f"case when {x} <> 0 then {texts[1]} when {x} = 0 then {texts[2]} end",
         }
-        return self.put(makers[name](), level, inexact)
+        grid = grids[0] if name in KEEPS_GRID and not inexact else None
+        if name in ("RANK", "rank"):
+            grid = self.rank_grid
+        return self.on_grid(self.put(makers[name](), level, inexact), grid)
 
     @staticmethod
     def both(texts, fn):
@@ -303,7 +365,7 @@ def formulas_sql(
 ) -> str:
     """``date, symbol`` and one rounded column per formula (or ``final`` over table ``matrix``)."""
     fields = {"open", "high", "low", "close", "volume", "amount"} | ({"vwap"} if named else set())
-    maker = FormulaSql(fields, named)
+    maker = FormulaSql(fields, named, 25 if bars == WEEKLY_BARS else None)
     outputs = {}
     for label, text in formulas.items():
         value = maker.visit(ast.parse(text, mode="eval").body)

@@ -5,16 +5,46 @@ from __future__ import annotations
 from factorloom.functions import crosssection as cs
 from factorloom.functions import elementwise as ew
 from factorloom.functions import timeseries as ts
+from factorloom.plans.expressions import ADD
 from factorloom.plans.staging import Operator, mark_inexact
 
+
+
+def window_terms(name: str, table):
+    """Terms of a window sum: the same window over the sizes of what it adds; an own field has one sign."""
+
+    def terms(columns, x, n):
+        return None if x.leaf else columns.apply(table()[name], columns.size(x), n)
+
+    return terms
+
+
+def delta_terms(delay: Operator):
+    """Terms of a difference with an earlier row: both sides."""
+
+    def terms(columns, x, n):
+        size = columns.size(x)
+        return columns.apply(ADD, size, columns.apply(delay, size, n))
+
+    return terms
+
+
+_DELAY = Operator(
+    "_delay", ts.shift, by="symbol", integers=1, lookback=lambda n: max(n, 0), lookahead=lambda n: max(-n, 0)
+)
+
 OPERATORS: dict[str, Operator] = {
     op.name: op
     for op in [
         Operator("RANK", None, by="date", round_operand=True),
         Operator(
-            "DELTA", ts.delta, by="symbol", integers=1, lookback=lambda n: max(n, 0), lookahead=lambda n: max(-n, 0)
+            "DELTA", ts.delta, by="symbol", integers=1, lookback=lambda n: max(n, 0), lookahead=lambda n: max(-n, 0),
+            terms=delta_terms(_DELAY),
+        ),
+        Operator(
+            "TS_MEAN", ts.ts_mean, by="symbol", integers=1, lookback=lambda n: n - 1,
+            terms=window_terms("TS_MEAN", lambda: OPERATORS),
         ),
-        Operator("TS_MEAN", ts.ts_mean, by="symbol", integers=1, lookback=lambda n: n - 1),
         Operator("TS_STDDEV", ts.ts_stddev, by="symbol", integers=1, lookback=lambda n: n - 1),
         Operator(
             "CORREL",
@@ -24,10 +54,11 @@ OPERATORS: dict[str, Operator] = {
             integers=1,
             lookback=lambda n: n - 1,
             finish=ts.clamp_correlation,
+            terms=lambda columns, *args: 1.0,  # products over the deviations they are divided by
         ),
-        Operator("Z_SCORE", cs.ZSCORE, by="date"),
+        Operator("Z_SCORE", cs.ZSCORE, by="date", terms=lambda columns, x: 1.0),
         Operator("SIGN", ew.sign),
-        Operator("ABS", ew.absolute),
+        Operator("ABS", ew.absolute, terms=lambda columns, x: columns.terms(x)),
     ]
 }
 mark_inexact(["TS_MEAN", "TS_STDDEV", "CORREL", "Z_SCORE", "_vwap"])

@@ -124,14 +124,14 @@ def factor_similarity(
     spark = matrix.sparkSession
     if not names:
         return spark.createDataFrame([], "f1 STRING, f2 STRING, rho DOUBLE")
-    matrix = durable(matrix)  # read by several passes
+    matrix = durable(matrix.withColumn("_row", F.monotonically_increasing_id()))  # read by several passes
     plain = [f"_c{i}" for i in range(len(names))]
     if metric == "pearson":
         compared = matrix.select(*keys, *[F.col(_quote(n)).alias(c) for n, c in zip(names, plain)])
     else:
-        cleaned = matrix.select(*keys, *[_clean(n).alias(c) for n, c in zip(names, plain)])
+        cleaned = matrix.select("_row", *keys, *[_clean(n).alias(c) for n, c in zip(names, plain)])
         ranks = {f"_r{i}": c for i, c in enumerate(plain)}
-        ranked = spread_ranks(cleaned, list(keys), [], ranks, as_percent=False)
+        ranked = spread_ranks(cleaned, "_row", [], ranks, as_percent=False)
         compared = ranked.select(*keys, *ranks)
     _, gram = _gram(compared, keys)
     size = F.sqrt(F.col("gi") * F.col("gj"))

@@ -10,19 +10,40 @@ from factorloom.functions import elementwise as ew
 from factorloom.plans.staging import FactorColumns, Node, Operator, mark_inexact
 
 
-def _plain(name, fn, repeats=False, series=2):
-    return Operator(name, fn, series=series, repeats_arguments=repeats)
+def _plain(name, fn, repeats=False, series=2, terms=None):
+    return Operator(name, fn, series=series, repeats_arguments=repeats, terms=terms)
 
 
+def _summed(columns, a, b):
+    """A sum or difference is as uncertain as both its sides."""
+    return columns.apply(ADD, columns.size(a), columns.size(b))
+
+
+def _multiplied(columns, a, b):
+    if columns.terms(a) is None and columns.terms(b) is None:
+        return None
+    return columns.apply(MULTIPLY, columns.size(a), columns.size(b))
+
+
+def _divided(columns, a, b):
+    top, below = columns.terms(a), columns.terms(b)
+    if top is None and below is None:
+        return None
+    ratio = columns.apply(_BINARY[ast.Div][0], columns.size(a), b)
+    return ratio if below is None else columns.apply(MULTIPLY, ratio, columns.apply(_BINARY[ast.Div][0], below, b))
+
+
+ADD = _plain("+", ew.add, terms=_summed)
+MULTIPLY = _plain("*", ew.multiply, terms=_multiplied)
 _BINARY = {
-    ast.Add: (_plain("+", ew.add), python_operator.add),
-    ast.Sub: (_plain("-", ew.subtract), python_operator.sub),
-    ast.Mult: (_plain("*", ew.multiply), python_operator.mul),
-    ast.Div: (_plain("/", ew.divide, repeats=True), python_operator.truediv),
+    ast.Add: (ADD, python_operator.add),
+    ast.Sub: (_plain("-", ew.subtract, terms=_summed), python_operator.sub),
+    ast.Mult: (MULTIPLY, python_operator.mul),
+    ast.Div: (_plain("/", ew.divide, repeats=True, terms=_divided), python_operator.truediv),
     ast.Pow: (_plain("**", ew.power), python_operator.pow),
 }
 mark_inexact(["**"])  # math libraries differ in the last bit of a power
-_NEGATE = _plain("neg", ew.negate, series=1)
+_NEGATE = _plain("neg", ew.negate, series=1, terms=lambda columns, x: columns.terms(x))
 _COMPARE = {
     ast.Lt: _plain("<", ew.less),
     ast.LtE: _plain("<=", ew.less_equal),

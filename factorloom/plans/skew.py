@@ -55,6 +55,15 @@ def has_large_group(df: DataFrame, keys: Sequence[str], row_limit: int = GROUP_R
     return (counts.agg(F.max("n")).first()[0] or 0) > row_limit
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a NULL key meets a NULL key, as in grouping; the left side's keys stay."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(named[f"_right_{k}"])
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running_total(
     df: DataFrame,
     group: Sequence[str],
@@ -83,14 +92,14 @@ def running_total(
     spanning = pieces
     if group:
         wide = pieces.groupBy(*group).agg(F.count(F.lit(1)).alias("_np")).where("_np > 1")
-        spanning = pieces.join(wide.drop("_np"), list(group), "left_semi")
+        spanning = join_groups(pieces, wide.drop("_np"), group, "left_semi")
     across = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         spanning.withColumn("_offset", F.sum("_pw").over(across))
         .where(F.col("_offset").isNotNull())
         .drop("_pw")
     )
-    joined = local.join(F.broadcast(offsets), [*group, "_piece"], "left")
+    joined = join_groups(local, F.broadcast(offsets), [*group, "_piece"], "left")
     return joined.withColumn(
         name, F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))
     ).drop("_w", "_piece", "_local", "_offset")
@@ -189,7 +198,7 @@ def mark_large_dates(df: DataFrame, layout: Layout) -> DataFrame:
         .where(F.col("_n") > layout.row_limit)
         .select("date", F.lit(True).alias("_large"))
     )
-    return df.join(large, "date", "left")
+    return join_groups(df, large, ["date"], "left")
 
 
 def spread_moments(df: DataFrame, keys: Sequence[str], items) -> DataFrame:
@@ -200,7 +209,7 @@ def spread_moments(df: DataFrame, keys: Sequence[str], items) -> DataFrame:
         aggregates += own
         spans.append([f"_m{i}_{j}" for j in range(len(own))])
     stats = df.groupBy(*keys).agg(*aggregates)
-    joined = df.join(stats, list(keys))
+    joined = join_groups(df, stats, keys)
     outputs = [
         moments.finish(list(series), [F.col(c) for c in names]).alias(name)
         for (name, moments, series), names in zip(items, spans)
@@ -210,7 +219,7 @@ def spread_moments(df: DataFrame, keys: Sequence[str], items) -> DataFrame:
 
 def spread_ranks(
     df: DataFrame,
-    row_id: Sequence[str],
+    row_id: str,
     group: Sequence[str],
     columns: dict[str, str],
     as_percent: bool = True,
@@ -219,9 +228,9 @@ def spread_ranks(
 
     ``columns`` maps output name -> column to rank.  Equal values are counted
     before anything is ordered, so a value shared by most rows is one row in the
-    ordered table.  ``row_id`` must identify a row.
+    ordered table.  ``row_id`` is a stored number that no other row has.
     """
-    ids = list(dict.fromkeys([*row_id, *group]))
+    ids = list(dict.fromkeys([row_id, *group]))
     long = (
         df.select(*ids, *[F.col(c).cast("double").alias(out) for out, c in columns.items()])
         .unpivot(ids, list(columns), "_column", "_x")
@@ -233,14 +242,14 @@ def spread_ranks(
     rank = F.col("_below") + (F.col("_n") + 1) / 2
     if as_percent:
         totals = values.groupBy(*per).agg(F.sum("_n").alias("_total"))
-        ranked = ordered.join(totals, per).select(
+        ranked = join_groups(ordered, totals, per).select(
             *per, "_x", ((F.col("_below") * 2 + F.col("_n") + 1) / 2 / F.col("_total")).alias("_r")
         )
     else:
         ranked = ordered.select(*per, "_x", rank.alias("_r"))
     back = (
-        long.join(ranked, [*per, "_x"])
-        .groupBy(*ids)
+        join_groups(long, ranked, [*per, "_x"])
+        .groupBy(row_id)
         .agg(*[F.max(F.when(F.col("_column") == out, F.col("_r"))).alias(out) for out in columns])
     )
-    return df.join(back, ids, "left")
+    return df.join(back, row_id, "left")

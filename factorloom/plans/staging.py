@@ -43,6 +43,9 @@ class Operator:
     round_operand: bool = False
     carries: bool = False
     finish: Callable[[Column], Column] | None = None  # row-wise step on the stored result
+    # ``terms(columns, *args)``: size of the terms that the result adds up and that may cancel
+    # (a number or a node); None where the result is as large as its terms.
+    terms: Callable | None = None
 
 
 @dataclass
@@ -66,8 +69,9 @@ class FactorColumns:
     """Collects formulas over named fields, then adds their columns to a panel."""
 
     fields: dict[str, str]
-    # Lowest bits of a computed operand that do not count when it is ordered: with 20
-    # of 53 bits, values that agree to about 1e-10 of their size are ties.  None: all count.
+    # Lowest bits of a computed operand that do not count when it is ordered: with 20 of
+    # 53 bits, values that agree to about 1e-10 of their size are ties, and what is left of
+    # terms 1e10 times as large is zero.  None: all count.
     rank_noise_bits: int | None = 20
     nodes: dict[tuple, Node] = field(default_factory=dict)
 
@@ -89,14 +93,34 @@ class FactorColumns:
         node = self._intern(key, build)
         if operator.finish is None:
             return node
-        last = Operator(f"{operator.name}_finish", operator.finish, repeats_arguments=True)
+        last = Operator(f"{operator.name}_finish", operator.finish, repeats_arguments=True, terms=_through)
         return self.apply(last, node)
 
     def settled(self, arg):
         """An operand about to be ordered, free of last-bit noise from window sums."""
-        if self.rank_noise_bits and _inexact(arg):
+        if not self.rank_noise_bits or not _inexact(arg):
+            return arg
+        terms = self.terms(arg)
+        if terms is None:
             return self.apply(_ROUND, arg, self.rank_noise_bits)
-        return arg
+        return self.apply(_SETTLE, arg, terms, self.rank_noise_bits)
+
+    def terms(self, arg):
+        """Size of the terms that may have cancelled in ``arg``; None: none larger than itself.
+
+        It says how far from zero a value must be to mean something: what is smaller
+        than the last of its terms' leading bits is zero, however small the terms are.
+        """
+        if not _inexact(arg) or arg.operator.terms is None:
+            return None
+        return arg.operator.terms(self, *arg.args)
+
+    def size(self, arg):
+        """Like :meth:`terms`, with the absolute value where there is nothing to cancel."""
+        if not isinstance(arg, Node):
+            return abs(arg)
+        terms = self.terms(arg)
+        return self.apply(_SIZE, arg) if terms is None else terms
 
     def _intern(self, key, build) -> Node:
         if key not in self.nodes:
@@ -227,8 +251,10 @@ class FactorColumns:
         steps = _gather_ranks(steps)
         if not layout.split_dates:
             return self._usual_dates(df, steps, needed)
-        marked = durable(skew.mark_large_dates(df, layout))
-        usual = marked.where(F.col("_large").isNull()).drop("_large")
+        # Rows are known by number: keys may repeat or be missing.
+        numbered = skew.mark_large_dates(df, layout).withColumn("_row", F.monotonically_increasing_id())
+        marked = durable(numbered)
+        usual = marked.where(F.col("_large").isNull()).drop("_large", "_row")
         large = marked.where(F.col("_large")).drop("_large")
         for nodes in steps:
             plain = [n for n in nodes if n.operator.by is None]
@@ -239,7 +265,7 @@ class FactorColumns:
                 large = skew.spread_moments(large, ["date"], items)
             ranks = [n for n in nodes if _is_rank(n)]
             if ranks:
-                large = skew.spread_ranks(large, ["symbol"], ["date"], _rank_inputs(ranks))
+                large = skew.spread_ranks(large, "_row", ["date"], _rank_inputs(ranks))
         return self._usual_dates(usual, steps, needed).select("date", "symbol", *needed).unionByName(
             large.select("date", "symbol", *needed)
         )
@@ -335,12 +361,24 @@ def _shortened(x: Column, bits: int) -> Column:
     return F.when(F.abs(x) < 1e290, scaled - (scaled - x)).otherwise(x)
 
 
+def _settle(x: Column, terms, bits: int) -> Column:
+    """:func:`_shortened`, and 0 where the terms' bits that count do not reach ``x``."""
+    least = (F.abs(terms) if isinstance(terms, Column) else F.lit(float(terms))) * F.lit(2.0 ** (bits - 53))
+    return F.when(F.abs(x) <= least, F.lit(0.0)).otherwise(_shortened(x, bits))
+
+
+def _through(columns: FactorColumns, x, *_):
+    return columns.terms(x)
+
+
 _ROUND = Operator("_round", _shortened, integers=1, repeats_arguments=True)
+_SETTLE = Operator("_settle", _settle, series=2, integers=1, repeats_arguments=True)
+_SIZE = Operator("_size", F.abs)
 
 # Operators whose result depends on the order floating point terms were combined in.
 _INEXACT: set[str] = set()
 # Ranks are counts; whatever noise the operand had is gone.
-_EXACT = {"RANK", "rank", "_round"}
+_EXACT = {"RANK", "rank", "_round", "_settle"}
 
 
 def mark_inexact(names: Iterable[str]) -> None:

@@ -18,6 +18,38 @@ def test_tiny_values_rank_apart(spark):
     assert last == {"a": 0.25, "b": 0.5, "c": 0.75, "d": 1.0}
 
 
+BARS = {  # closes and volumes: uncorrelated ones in several sizes, one rising, one falling together
+    "a": ([1, 2, 3], [7, 1, 7]),
+    "b": ([0.1, 0.2, 0.3], [0.7, 0.1, 0.7]),
+    "c": ([100.1, 100.2, 100.3], [1e6 / 7, 1e6 / 3, 1e6 / 7]),
+    "d": ([1, 2, 3], [0.1, 0.2, 0.3]),
+    "e": ([1, 2, 3], [0.3, 0.2, 0.1]),
+}
+
+
+def last_ranks(spark, formula, named=False):
+    day = dt.date(2024, 1, 1)
+    rows = [
+        (day + dt.timedelta(i), s, *[float(x[i])] * 4, float(v[i]), 1.0) for s, (x, v) in BARS.items() for i in range(3)
+    ]
+    panel = spark.createDataFrame(rows, "date date, symbol string, open double, high double, low double, close double, volume double, amount double")
+    got = factors.compute_dense(panel, {"x": formula}) if named else factors.compute_composed(panel, [formula], fill=None)
+    return {r["symbol"]: r[2] for r in got.where(F.col("date") == day + dt.timedelta(2)).collect()}
+
+
+def test_what_cancels_to_nothing_ties_at_zero(spark):
+    tied = {"a": 0.6, "b": 0.6, "c": 0.6, "d": 1.0, "e": 0.2}
+    assert last_ranks(spark, "RANK(CORREL(CLOSE, VOLUME, 3))") == tied
+    assert last_ranks(spark, "RANK(-CORREL(CLOSE, VOLUME, 3) * 2)") == tied | {"d": 0.2, "e": 1.0}
+    assert last_ranks(spark, "rank(cor(close, volume, 3))", named=True) == tied
+    assert last_ranks(spark, "rank(cov(close, volume, 3))", named=True) == tied
+    # The same mean twice, added up in two ways.
+    assert set(last_ranks(spark, "RANK(TS_MEAN(CLOSE / 3, 3) - TS_MEAN(CLOSE, 3) / 3)").values()) == {0.6}
+    # 1e-12 and its multiples are no rounding errors.
+    small = last_ranks(spark, "RANK(TS_MEAN(VOLUME, 3) * 0.000000000001)")
+    assert small == {"b": 0.6, "a": 0.8, "c": 1.0, "d": 0.3, "e": 0.3}
+
+
 TRADES = "l_orderkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double"
 
 

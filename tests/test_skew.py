@@ -83,7 +83,7 @@ def test_spread_ranks_with_one_dominant_value(spark):
     df = spark.range(900).select(
         "id", F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") % 50).cast("double").alias("x")
     )
-    got = skew.spread_ranks(df, ["id"], [], {"r": "x"})
+    got = skew.spread_ranks(df, "id", [], {"r": "x"})
     want = df.toPandas().set_index("id")["x"].rank(pct=True)
     for row in got.collect():
         assert row["r"] == pytest.approx(want[row["id"]], abs=1e-12)
@@ -125,3 +125,26 @@ def test_leads_reach_over_segments(spark, row_limit):
     usual = factors.compute_composed(frame, formulas, layout=Layout(), fill=None, allow_lead=True)
     split = factors.compute_composed(frame, formulas, layout=layout, fill=None, allow_lead=True)
     assert rows(split) == rows(usual)
+
+
+def test_repeated_and_missing_keys_rank_alike_in_both_plans(spark):
+    day = dt.date(2024, 1, 1)
+    names = ["a", "a", None, None, "b", "c", "c", "d"]
+    rows_in = [(d, s, float((3 * i + j) % 5), float(i)) for j, d in enumerate([day, None, day + dt.timedelta(1)]) for i, s in enumerate(names)]
+    frame = spark.createDataFrame(rows_in, "date date, symbol string, close double, volume double")
+    formulas = ["RANK(CLOSE)", "RANK(VOLUME) + RANK(-CLOSE)", "Z_SCORE(CLOSE)", "RANK(Z_SCORE(CLOSE) * VOLUME)"]
+
+    def found(layout):
+        out = factors.compute_composed(frame, ["CLOSE", "VOLUME", *formulas], layout=layout, fill=None)
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in out.collect()), key=str)
+
+    usual = found(Layout())
+    assert len(usual) == len(rows_in)
+    for limit in (2, 5, 1000):
+        assert found(Layout(split_dates=True, row_limit=limit)) == usual
+
+
+def test_ranks_over_the_limit_by_hand(spark):
+    frame = spark.createDataFrame([(dt.date(2024, 1, 1), s, x) for s, x in [("a", 1.0), ("a", 5.0), (None, 2.0)]], "date date, symbol string, close double")
+    got = factors.compute_composed(frame, ["CLOSE", "RANK(CLOSE)"], layout=Layout(split_dates=True, row_limit=2))
+    assert sorted((r["CLOSE"], round(r["RANK(CLOSE)"], 6)) for r in got.collect()) == [(1.0, 0.333333), (2.0, 0.666667), (5.0, 1.0)]
