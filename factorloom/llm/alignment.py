@@ -29,7 +29,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -135,7 +135,7 @@ def byte_letters() -> dict[str, int]:
 class Pair:
     """Both tokenizers, and what is known of parts of texts."""
 
-    ENTRIES = 600_000
+    ENTRIES = 300_000
     # Bytes of parts that are encoded as one text.
     TOGETHER = 60_000
 
@@ -252,12 +252,11 @@ class Pair:
     def digests(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, str, bytes]]:
         """Per text: counts (A, B, groups, links, pairs sharing a group), the hash of its groups, codes of its links."""
         cut = [blank_parts(t) if t else [] for t in texts]
-        every = set().union(*cut)
-        missing = every.difference(self._place)
-        if len(self._place) + len(missing) > self.ENTRIES:
-            self._clear()
-            missing = every
-        self._learn(list(missing))
+        if len(self._place) > self.ENTRIES:  # the newest ones go: what is frequent was met early
+            self._place = dict(islice(self._place.items(), self.ENTRIES))
+            del self._groups[self.ENTRIES :], self._codes[self.ENTRIES :]
+            self._counts = self._counts[: self.ENTRIES].copy()
+        self._learn(list(set().union(*cut).difference(self._place)))
         n = np.array([len(parts) for parts in cut], "int64")
         flat = list(map(self._place.__getitem__, chain.from_iterable(cut)))
         named, codes = list(map(self._groups.__getitem__, flat)), list(map(self._codes.__getitem__, flat))
@@ -293,7 +292,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, text: str = "text", ke
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, none = pair(a_path, b_path), np.zeros(0, "int64")
         for batch in batches:
-            for part in bounded(batch, "text", 8_000_000):
+            for part in bounded(batch, "text", 4_000_000):
                 made = []
                 for t in part["text"]:
                     found = own.tokens(t) if t else None
@@ -331,7 +330,7 @@ def link_chunks(docs: DataFrame, key: str, a_path: str, b_path: str, text: str)
             return pd.DataFrame({"keys": [keys], "counts": [flat], "hashes": [hashes], "codes": [zlib.compress(b"".join(codes), 1)]})
 
         for batch in batches:
-            for part in bounded(batch, "text", 8_000_000):
+            for part in bounded(batch, "text", 4_000_000):
                 for name, (n, digest, links) in zip(part["k0"].tolist(), own.digests(part["text"].tolist())):
                     keys.append(name)
                     counts.append(n)

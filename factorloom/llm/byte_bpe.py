@@ -24,12 +24,13 @@ asked for may have any name.  An id without an entry is an error of decoding.
 from __future__ import annotations
 
 import base64
+import hashlib
 import unicodedata
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -244,10 +245,10 @@ def foreign_letters(pattern: str) -> dict[int, str]:
 class ByteBpe:
     """Encoder and decoder of one rank file."""
 
-    ENTRIES = 500_000
+    ENTRIES = 300_000
     # Longer matches are merged alone.
     TOGETHER = 256
-    # Bytes merged together.
+    # Characters of texts encoded together, and bytes merged together.
     BYTES = 4_000_000
 
     def __init__(self, path: str, pattern: str, stand_ins: dict[int, str]):
@@ -256,12 +257,13 @@ class ByteBpe:
         for data, rank in self.ranks.items():
             self.bytes_of[rank] = data
         self._one = np.array([self.ranks[bytes([b])] for b in range(256)], "int32")
-        self._pairs = PairRanks(self.ranks)
+        self._pairs: PairRanks | None = None
         self._split = regex.compile(pattern)
         self._stand_ins = stand_ins
         self._foreign = frozenset(map(chr, stand_ins))
         self._bits = RankBits(len(self.bytes_of))
         self._known: dict[str, bytes] = {}
+        self._decimals: list[str] = []
 
     def matches(self, text: str) -> list[str]:
         if text.isascii() or self._foreign.isdisjoint(text):
@@ -270,6 +272,8 @@ class ByteBpe:
 
     def merged(self, matches: set[bytes]) -> dict[bytes, bytes]:
         """Ids (little-endian 32-bit) by match."""
+        if self._pairs is None:
+            self._pairs = PairRanks(self.ranks)
         found, waiting, size = {}, [], 0
         for match in matches:
             whole = self.ranks.get(match)
@@ -291,9 +295,6 @@ class ByteBpe:
         """Ids of every text."""
         cut = [blank_parts(t) for t in texts]
         known = self._known
-        if len(known) > self.ENTRIES:  # the oldest ones go
-            for old in list(known)[: len(known) // 2]:
-                del known[old]
         # A text's first part has no blank before it; no other part starts with one.
         for parts in cut:
             parts[0] = " " + parts[0]
@@ -306,12 +307,29 @@ class ByteBpe:
         for part, some in split.items():
             known[part] = ids[some[0]] if len(some) == 1 else b"".join([ids[m] for m in some])
         get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), "<i4") for parts in cut]
+        out = [np.frombuffer(b"".join(map(get, parts)), "<i4") for parts in cut]
+        if len(known) > self.ENTRIES:  # the newest ones go: what is frequent was met early
+            self._known = dict(islice(known.items(), self.ENTRIES))
+        return out
+
+    def decimals(self) -> list[str]:
+        if not self._decimals:
+            self._decimals = [str(i) for i in range(len(self.bytes_of))]
+        return self._decimals
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def digests(own: "ByteBpe", texts: Sequence[str]) -> Iterator[tuple[int, str, str]]:
+    """Per text: number of ids, hash of the ids as decimals, hash of the bytes decoded from them."""
+    names = own.decimals()
+    for ids in own.encode(texts):
+        listed = ids.tolist()
+        written = " ".join(map(names.__getitem__, listed)).encode()
+        yield len(listed), hashlib.sha256(written).hexdigest(), hashlib.sha256(own.decode(listed)).hexdigest()
+
+
 _CODECS: dict[tuple[str, str], ByteBpe] = {}
 
 
@@ -331,7 +349,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: S
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern, stand_ins)
         for batch in batches:
-            for part in bounded(batch, "text", own.BYTES * 8):
+            for part in bounded(batch, "text", own.BYTES):
                 yield part[names].assign(ids=own.encode([t or "" for t in part["text"]]))
 
     return restored(rows.mapInPandas(run, out), docs, keep, names)
@@ -348,3 +366,23 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", keep:
             yield batch[names].assign(decoded=[own.decode(x.tolist()) if x is not None else b"" for x in batch["text"]])
 
     return restored(rows.mapInPandas(run, out), encoded, keep, names)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``*keep, n_tokens, ids_sha256, decoded_sha256``: encoded and decoded again, in hashes.
+
+    Hashes are lowercase hex: of the ids as decimals joined by one blank, and of the decoded bytes.
+    """
+    rows, names = with_texts(docs, text, keep)
+    told = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    out = T.StructType([rows.schema[n] for n in names] + [T.StructField(n, k) for n, k in told])
+    stand_ins = foreign_letters(pattern)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = codec(path, pattern, stand_ins)
+        for batch in batches:
+            for part in bounded(batch, "text", own.BYTES):
+                made = pd.DataFrame(digests(own, [t or "" for t in part["text"]]), columns=[n for n, _ in told], index=part.index)
+                yield pd.concat([part[names], made], axis=1)
+
+    return restored(rows.mapInPandas(run, out), docs, keep, names)

@@ -135,11 +135,7 @@ def _(spark, folder):
 @query("op12_byte_level_bpe")
 def _(spark, folder):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(table(spark, folder, "documents"), *ranks)
-    decimals = F.array_join(F.col("ids").cast("array<string>"), " ")
-    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals, 256).alias("ids_sha256"), "ids")
-    decoded = byte_bpe.decode(told, *ranks, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return byte_bpe.round_trip(table(spark, folder, "documents"), *ranks)
 
 
 @query("op13_ranked_lexical_search")
