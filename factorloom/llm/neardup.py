@@ -14,8 +14,13 @@ With m aligned shingles of n1 and n2 the similarity is m / (n1 + n2 - m).
 No bucket is expanded into pairs.  Exact copies are one class from the start and
 only representatives go on.  In each bucket every text is first compared with
 the bucket's centre (the text with the most sketch partners); linked texts form
-classes; then in buckets that still hold several classes, every text is compared
-with the texts outside its class, in blocks, so no link between classes is lost.
+classes.  In buckets that still hold several classes, texts of different classes
+are compared, in blocks, so no link between classes is lost.  Most of these need
+no alignment: a shingle that occurs in one class only cannot be shared with a text
+of another, so the number of a text's other shingles (:func:`shared_counts`,
+counted over all texts of such buckets) bounds its similarity to every text outside
+its class.  Edited copies of one text hold shingles of their own, so the bound
+settles nearly all pairs of a large group of them, and only the rest is aligned.
 
 Defined results: NULL texts are duplicates of nothing; texts equal up to white
 space and letter case are copies, empty ones of each other; a text of fewer than
@@ -45,6 +50,9 @@ GROUP = 128
 BLOCK = 256
 # Rows of small groups that one call handles together.
 ROWS = 400
+# Shingles of a chunk of texts (a longer text is a chunk of its own), and shingles that a slice should meet.
+CHUNK = 1_000_000
+SLICE_SHINGLES = 8_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -267,7 +275,11 @@ def classes(rows: DataFrame, similar: float = SIMILAR, count: int = SKETCHES, pi
     # What centres did not settle: buckets that hold several classes.
     parted = shared.join(comps, "row")
     several = parted.groupBy("i", "value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    open_rows = parted.join(several.where("low <> high").drop("low", "high"), ["i", "value"])
+    parted = parted.join(several.where("low <> high").drop("low", "high"), ["i", "value"])
+    unsettled = stored(parted.select("row", "comp", "length").distinct(), "unsettled")
+    counts = shared_counts(unsettled.join(texts.select("row", "text"), "row"), unsettled)
+    able = unsettled.drop("comp", "length").join(counts, "row").where(F.col("shared") >= F.lit(similar) * F.col("length") - 1e-9)
+    open_rows = parted.join(stored(able.select("row", "shared"), "able"), "row")
     more = stored(open_pairs(open_rows, similar).join(pairs, ["a", "b"], "left_anti"), "open")
     if not more.isEmpty():
         found = verified(more, texts, similar).select("a", "b")
@@ -276,11 +288,116 @@ def classes(rows: DataFrame, similar: float = SIMILAR, count: int = SKETCHES, pi
     return rows.select("row", "doc", "text_id").join(members, "text_id", "left").select("row", "doc", "comp")
 
 
+def _entries(shingles: np.ndarray, owner: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle with the smallest and, if it is another, the largest class that holds it."""
+    if not len(shingles):
+        return shingles, comps[:0]
+    order = np.argsort(shingles, kind="stable")
+    s, c = shingles[order], comps[owner[order]]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    low, high = np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)
+    two = low != high
+    return np.r_[s[first], s[first][two]], np.r_[low, high[two]]
+
+
+def shared_counts(texts: DataFrame, sized: DataFrame) -> DataFrame:
+    """``row, length, shared``: how many shingles of a text also occur in texts of other classes.
+
+    ``texts`` has ``row, comp, text``; ``sized`` their ``length``.  Chunks of texts
+    send each of their shingles once, with at most two classes, to the shingles'
+    slices, which answer whether several classes hold it; a shingle in any
+    number of texts is one entry of every chunk.
+    """
+    total = sized.agg(F.sum("length")).first()[0] or 0
+    slices = int(max(8, -(-total // SLICE_SHINGLES)))
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, comps, parts, held = [], [], [], 0
+
+        def chunk():
+            return pd.DataFrame(
+                {
+                    "rows": [np.array(rows, "<i8").tobytes()], "comps": [np.array(comps, "<i8").tobytes()],
+                    "lengths": [np.array([len(x) for x in parts], "<i8").tobytes()], "shingles": [np.concatenate(parts).tobytes()],
+                }
+            )
+
+        for b in batches:
+            for row, comp, text in zip(b["row"], b["comp"], b["text"]):
+                rows.append(row)
+                comps.append(comp)
+                parts.append(labelled_shingles(text))
+                held += len(parts[-1])
+                if held >= CHUNK:
+                    yield chunk()
+                    rows, comps, parts, held = [], [], [], 0
+        if rows:
+            yield chunk()
+
+    fields = "rows binary, comps binary, lengths binary, shingles binary"
+    made = texts.select("row", "comp", "text").mapInPandas(gather, fields)
+    chunks = stored(made.withColumn("chunk", F.monotonically_increasing_id()), "shingles")
+
+    def opened(x) -> tuple[np.ndarray, ...]:
+        numbers = [np.frombuffer(x[c], "<i8") for c in ("rows", "comps", "lengths")]
+        shingles = np.frombuffer(x["shingles"], "uint64")
+        owner = np.repeat(np.arange(len(numbers[0])), numbers[2])
+        return (*numbers, shingles, owner, *_entries(shingles, owner, numbers[1]))
+
+    def slice_of(shingles: np.ndarray) -> np.ndarray:
+        return (shingles >> np.uint64(24)) % np.uint64(slices)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for x in b.to_dict("records"):
+                *_, s, c = opened(x)
+                at = slice_of(s)
+                for i in np.unique(at).tolist():
+                    names, place = np.unique(c[at == i], return_inverse=True)
+                    yield pd.DataFrame(
+                        {
+                            "slice": [i], "chunk": [x["chunk"]], "s": [s[at == i].tobytes()],
+                            "names": [names.tobytes()], "place": [place.astype("<u4").tobytes()],
+                        }
+                    )
+
+    asked = chunks.mapInPandas(ask, "slice int, chunk long, s binary, names binary, place binary")
+
+    def answer(got: pd.DataFrame) -> pd.DataFrame:
+        s = [np.frombuffer(x, "uint64") for x in got["s"]]
+        c = [np.frombuffer(n, "<i8")[np.frombuffer(p, "<u4")] for n, p in zip(got["names"], got["place"])]
+        every, _ = _entries(np.concatenate(s), np.arange(sum(map(len, s))), np.concatenate(c))
+        several = np.sort(every[len(np.unique(every)) :])  # named a second time
+        return pd.DataFrame(
+            {
+                "chunk": got["chunk"], "slice": got["slice"],
+                "several": [np.packbits(np.isin(x, several, assume_unique=False)).tobytes() for x in s],
+            }
+        )
+
+    answers = asked.groupBy("slice").applyInPandas(answer, "chunk long, slice int, several binary")
+
+    def count(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        if not len(chunk):
+            return pd.DataFrame(columns=["row", "length", "shared"])
+        rows, _, lengths, shingles, owner, s, _ = opened(chunk.iloc[0])
+        at, flags = slice_of(s), np.zeros(len(s), bool)
+        for i, bits in zip(got["slice"], got["several"]):
+            mine = at == i
+            flags[mine] = np.unpackbits(np.frombuffer(bits, "uint8"), count=int(mine.sum())).astype(bool)
+        held = np.isin(shingles, s[flags])
+        return pd.DataFrame({"row": rows, "length": lengths, "shared": np.bincount(owner[held], minlength=len(rows))})
+
+    grouped = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return grouped.applyInPandas(count, "row long, length int, shared long")
+
+
 def open_pairs(rows: DataFrame, similar: float) -> DataFrame:
     """Pairs of different classes in one bucket that may still be similar, smaller number second.
 
     Texts outside a bucket's largest class meet all texts of the bucket, block by
-    block; a pair goes on if lengths allow the similarity.
+    block; a pair goes on if the lengths, and the shingles that either shares with
+    other classes, allow the similarity.
     """
     bucket = ["i", "value"]
     sized = rows.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -288,7 +405,7 @@ def open_pairs(rows: DataFrame, similar: float) -> DataFrame:
     spread = lambda seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.ceil(F.col("n") / BLOCK)).cast("int")
     marked = stored(
         rows.join(main, bucket).select(
-            *bucket, "row", "length", "comp", (F.col("comp") != F.col("main")).alias("outside"),
+            *bucket, "row", "length", "shared", "comp", (F.col("comp") != F.col("main")).alias("outside"),
             spread(9).alias("block"), spread(8).alias("part"),
         ),
         "marked",
@@ -299,7 +416,7 @@ def open_pairs(rows: DataFrame, similar: float) -> DataFrame:
     blocks = outside.select(*bucket, "block").distinct()
     left = outside.join(parts, bucket)
     right = marked.drop("block", "outside").join(blocks, bucket)
-    group, cols = [*bucket, "block", "part"], ["row", "length", "comp"]
+    group, cols = [*bucket, "block", "part"], ["row", "length", "shared", "comp"]
     bins = max(1, -(-marked.count() // (10 * ROWS)))  # small groups share a call
 
     def side(df: DataFrame) -> DataFrame:
@@ -309,14 +426,16 @@ def open_pairs(rows: DataFrame, similar: float) -> DataFrame:
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = set()
         if len(a) and len(b):
-            length_b, comp_b, id_b = b["length"].to_numpy(), b["comp"].to_numpy(), b["row"].to_numpy()
+            length_b, comp_b, id_b, shared_b = (b[c].to_numpy() for c in ("length", "comp", "row", "shared"))
             partners = b.groupby(group).indices
-            rows_a = zip(zip(*[a[c] for c in group]), a["row"], a["length"], a["comp"])
-            for key, t, n, comp in rows_a:
+            rows_a = zip(zip(*[a[c] for c in group]), a["row"], a["length"], a["shared"], a["comp"])
+            for key, t, n, shared, comp in rows_a:
                 at = partners.get(key, ())
                 if len(at):
                     lengths = length_b[at]
-                    at = at[(np.minimum(lengths, n) >= similar * np.maximum(lengths, n)) & (comp_b[at] != comp)]
+                    least = similar * (lengths + n) / (1 + similar) - 1e-9  # shingles that must be common
+                    near = (np.minimum(lengths, n) >= similar * np.maximum(lengths, n)) & (comp_b[at] != comp)
+                    at = at[near & (np.minimum(shared_b[at], shared) >= least)]
                     found.update((max(t, x), min(t, x)) for x in id_b[at])
         return pd.DataFrame(sorted(found), columns=["a", "b"])
 

@@ -281,3 +281,18 @@ def test_near_copies_with_one_common_sketch_meet(spark):
             assert got[3 * f + 1] == got[3 * f + 2] != got[3 * f]
             through_hub += hub == one
     assert through_hub >= 5
+
+
+def test_shared_counts_equal_plain_sets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 300)
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(200)]
+    texts = [t for _ in range(4) for t in near_copies(rng, words, 9)] + ["", "one two"]
+    rows = [(i, i // 3, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "row long, comp long, text string").repartition(3)
+    sized = df.select(F.lit(100).alias("length"))
+    got = {r["row"]: (r["length"], r["shared"]) for r in neardup.shared_counts(df, sized).collect()}
+    parts = [set(shingled(t)) if t else set() for t in texts]
+    for i, own in enumerate(parts):
+        others = set().union(*[p for j, p in enumerate(parts) if j // 3 != i // 3])
+        assert got[i] == (len(own), len(own & others))
