@@ -59,7 +59,8 @@ def item_terms(items: DataFrame, id: str, text: str) -> DataFrame:
         for b in batches:
             for item, data in zip(b["item"], b["data"]):
                 terms = sorted(set(terms_of(data)))
-                yield pd.DataFrame({"item": [item] * len(terms), "term": terms})
+                if terms:
+                    yield pd.DataFrame({"item": [item] * len(terms), "term": terms})
 
     rows = items.select(F.to_json(F.struct(F.col(f"`{id}`").alias("id"))).alias("item"), F.col(f"`{text}`").cast("binary").alias("data"))
     return rows.where("data is not null").mapInPandas(run, "item string, term binary").distinct()
