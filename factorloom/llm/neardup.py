@@ -18,8 +18,8 @@ classes.  In buckets that still hold several classes, texts of different classes
 are compared, in blocks, so no link between classes is lost.  Most of these need
 no alignment: a shingle that occurs in one class only cannot be shared with a text
 of another, so the number of a text's other shingles (:func:`shared_counts`,
-counted over all texts of such buckets) bounds its similarity to every text outside
-its class.  Edited copies of one text hold shingles of their own, so the bound
+counted over all texts of such buckets, in ``PARTS`` parts by hash) bounds its
+similarity to every text outside its class.  Edited copies of one text hold shingles of their own, so the bound
 settles nearly all pairs of a large group of them, and only the rest is aligned.
 
 Defined results: NULL texts are duplicates of nothing; texts equal up to white
@@ -30,6 +30,7 @@ five words is one shingle; repeated rows share a class; ties go to the smaller
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -53,6 +54,10 @@ ROWS = 400
 # Shingles of a chunk of texts (a longer text is a chunk of its own), and shingles that a slice should meet.
 CHUNK = 1_000_000
 SLICE_SHINGLES = 8_000_000
+# Parts by hash in which a text's shared shingles are counted; a part with more than HELD is not told.
+PARTS, HELD = 32, 60_000
+# Bits of a filter of row numbers: ten for each, at most 64 MB; beyond that texts meet by shuffle alone.
+FILTER_BITS, FILTER_PIECE = 1 << 29, 1 << 19
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -176,6 +181,52 @@ def stored_rows(docs: DataFrame, key: str, text: str, whole: bool = False) -> Da
     return rows.withColumn("text", F.col("all").getField(text))  # of the struct only this is read
 
 
+def holding(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts whose ``row`` is in ``wanted``, and a few others: a Bloom filter of bounded size.
+
+    A join behind it then shuffles few texts that it does not need.
+    """
+    bits = 1 << max(10, (10 * wanted.count() - 1).bit_length())
+    if bits > FILTER_BITS:
+        return texts
+    size = min(bits, FILTER_PIECE)
+
+    def places(rows: np.ndarray) -> list[np.ndarray]:
+        h = mixed(rows.astype("uint64") + _MIX)
+        return [(x & np.uint64(bits - 1)).astype("int64") for x in (h, h >> np.uint64(32), mixed(h))]
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = np.unique(np.concatenate(places(b["row"].to_numpy("int64"))))
+            for piece in np.unique(at // size).tolist():
+                own = held.setdefault(piece, np.zeros(size, bool))
+                own[at[at // size == piece] % size] = True
+        for piece, own in held.items():
+            yield pd.DataFrame({"piece": [piece], "bits": [zlib.compress(np.packbits(own).tobytes(), 1)]})
+
+    def both(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(zlib.decompress(x), "uint8") for x in rows["bits"]]
+        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "bits": [np.bitwise_or.reduce(parts).tobytes()]})
+
+    kind = "piece int, bits binary"
+    marked = wanted.select("row").mapInPandas(mark, kind).groupBy("piece").applyInPandas(both, kind)
+    whole = np.zeros(bits // 8, "uint8")
+    for r in marked.toLocalIterator():  # at most FILTER_BITS in all
+        data = np.frombuffer(r["bits"], "uint8")
+        whole[r["piece"] * size // 8 :][: len(data)] = data
+    shared = texts.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def held(rows: pd.Series) -> pd.Series:
+        flags, out = shared.value, np.ones(len(rows), bool)
+        for at in places(rows.to_numpy("int64")):
+            out &= (flags[at >> 3] >> (7 - (at & 7)).astype("uint8")) & 1 == 1
+        return pd.Series(out)
+
+    return texts.where(held("row"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """The pairs ``a, b`` (row numbers) whose alignment is similar enough.
 
@@ -190,7 +241,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     )
     # Small groups share a call.
     bins = max(1, -(-sized.count() // ROWS))
-    rows = sides.join(texts, "row").withColumn("bin", F.pmod(F.xxhash64("a", "part"), F.lit(bins)))
+    rows = sides.join(holding(texts, sides), "row").withColumn("bin", F.pmod(F.xxhash64("a", "part"), F.lit(bins)))
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -277,9 +328,9 @@ def classes(rows: DataFrame, similar: float = SIMILAR, count: int = SKETCHES, pi
     several = parted.groupBy("i", "value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     parted = parted.join(several.where("low <> high").drop("low", "high"), ["i", "value"])
     unsettled = stored(parted.select("row", "comp", "length").distinct(), "unsettled")
-    counts = shared_counts(unsettled.join(texts.select("row", "text"), "row"), unsettled)
+    counts = shared_counts(unsettled.join(holding(texts.select("row", "text"), unsettled), "row"), unsettled)
     able = unsettled.drop("comp", "length").join(counts, "row").where(F.col("shared") >= F.lit(similar) * F.col("length") - 1e-9)
-    open_rows = parted.join(stored(able.select("row", "shared"), "able"), "row")
+    open_rows = parted.join(stored(able.select("row", "shared", "parts"), "able"), "row")
     more = stored(open_pairs(open_rows, similar).join(pairs, ["a", "b"], "left_anti"), "open")
     if not more.isEmpty():
         found = verified(more, texts, similar).select("a", "b")
@@ -301,7 +352,8 @@ def _entries(shingles: np.ndarray, owner: np.ndarray, comps: np.ndarray) -> tupl
 
 
 def shared_counts(texts: DataFrame, sized: DataFrame) -> DataFrame:
-    """``row, length, shared``: how many shingles of a text also occur in texts of other classes.
+    """``row, length, shared, parts``: how many shingles of a text also occur in texts of other classes,
+    in all and by hash (16 bits a part; NULL if a part does not fit).
 
     ``texts`` has ``row, comp, text``; ``sized`` their ``length``.  Chunks of texts
     send each of their shingles once, with at most two classes, to the shingles'
@@ -379,17 +431,20 @@ def shared_counts(texts: DataFrame, sized: DataFrame) -> DataFrame:
 
     def count(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(chunk):
-            return pd.DataFrame(columns=["row", "length", "shared"])
+            return pd.DataFrame(columns=["row", "length", "shared", "parts"])
         rows, _, lengths, shingles, owner, s, _ = opened(chunk.iloc[0])
         at, flags = slice_of(s), np.zeros(len(s), bool)
         for i, bits in zip(got["slice"], got["several"]):
             mine = at == i
             flags[mine] = np.unpackbits(np.frombuffer(bits, "uint8"), count=int(mine.sum())).astype(bool)
         held = np.isin(shingles, s[flags])
-        return pd.DataFrame({"row": rows, "length": lengths, "shared": np.bincount(owner[held], minlength=len(rows))})
+        code = owner[held] * PARTS + (shingles[held] % np.uint64(PARTS)).astype("int64")
+        counts = np.bincount(code, minlength=len(rows) * PARTS).reshape(-1, PARTS)
+        parts = [x.astype("<u2").tobytes() if x.max() <= HELD else None for x in counts]
+        return pd.DataFrame({"row": rows, "length": lengths, "shared": counts.sum(1), "parts": parts})
 
     grouped = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return grouped.applyInPandas(count, "row long, length int, shared long")
+    return grouped.applyInPandas(count, "row long, length int, shared long, parts binary")
 
 
 def open_pairs(rows: DataFrame, similar: float) -> DataFrame:
@@ -405,7 +460,7 @@ def open_pairs(rows: DataFrame, similar: float) -> DataFrame:
     spread = lambda seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.ceil(F.col("n") / BLOCK)).cast("int")
     marked = stored(
         rows.join(main, bucket).select(
-            *bucket, "row", "length", "shared", "comp", (F.col("comp") != F.col("main")).alias("outside"),
+            *bucket, "row", "length", "shared", "parts", "comp", (F.col("comp") != F.col("main")).alias("outside"),
             spread(9).alias("block"), spread(8).alias("part"),
         ),
         "marked",
@@ -416,26 +471,32 @@ def open_pairs(rows: DataFrame, similar: float) -> DataFrame:
     blocks = outside.select(*bucket, "block").distinct()
     left = outside.join(parts, bucket)
     right = marked.drop("block", "outside").join(blocks, bucket)
-    group, cols = [*bucket, "block", "part"], ["row", "length", "shared", "comp"]
+    group, cols = [*bucket, "block", "part"], ["row", "length", "shared", "parts", "comp"]
     bins = max(1, -(-marked.count() // (10 * ROWS)))  # small groups share a call
 
     def side(df: DataFrame) -> DataFrame:
         named = df.select(*[F.col(c).alias(c) for c in group + cols])
         return named.withColumn("bin", F.pmod(F.xxhash64(*group), F.lit(bins)))
 
+    def told(parts: bytes | None) -> np.ndarray:
+        return np.frombuffer(parts, "<u2") if parts is not None else np.full(PARTS, 0xFFFF, "<u2")
+
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = set()
         if len(a) and len(b):
             length_b, comp_b, id_b, shared_b = (b[c].to_numpy() for c in ("length", "comp", "row", "shared"))
+            parts_b = np.vstack([told(x) for x in b["parts"]])
             partners = b.groupby(group).indices
-            rows_a = zip(zip(*[a[c] for c in group]), a["row"], a["length"], a["shared"], a["comp"])
-            for key, t, n, shared, comp in rows_a:
+            rows_a = zip(zip(*[a[c] for c in group]), a["row"], a["length"], a["shared"], a["parts"], a["comp"])
+            for key, t, n, shared, own, comp in rows_a:
                 at = partners.get(key, ())
                 if len(at):
                     lengths = length_b[at]
                     least = similar * (lengths + n) / (1 + similar) - 1e-9  # shingles that must be common
                     near = (np.minimum(lengths, n) >= similar * np.maximum(lengths, n)) & (comp_b[at] != comp)
-                    at = at[near & (np.minimum(shared_b[at], shared) >= least)]
+                    near &= np.minimum(shared_b[at], shared) >= least
+                    at, least = at[near], least[near]
+                    at = at[np.minimum(parts_b[at], told(own)).sum(1, dtype="int64") >= least]
                     found.update((max(t, x), min(t, x)) for x in id_b[at])
         return pd.DataFrame(sorted(found), columns=["a", "b"])
 
