@@ -1,5 +1,6 @@
 """Quality and toxicity: held-out accuracy, plain forward passes, corner cases."""
 
+import math
 import zlib
 
 import numpy as np
@@ -127,3 +128,79 @@ def test_conflicting_labels_are_left_out(spark):
 def test_isotonic_rates_rise():
     x, rates = isotonic(np.arange(6.0), np.array([0, 3, 1, 0, 4, 5.0]), np.array([5, 5, 5, 0, 5, 5.0]))
     assert (np.diff(rates) > 0).all() and (np.diff(x) > 0).all() and rates.tolist() == [0.0, 0.4, 0.8, 1.0]
+
+
+def plain_statistics(text):
+    """The statistics of a text, character by character and word by word."""
+    if not text:
+        return [0.0] * quality.STATISTICS
+    n, words, lines = len(text), text.split(), text.split("\n")
+    kinds = {k: 0 for k in ("upper", "lower", "digit", "blank", "stop", "mark", "other")}
+    for c in text:
+        if ord(c) >= 128:
+            kinds["other"] += 1
+        elif c in "\t\n\x0b\x0c\r ":
+            kinds["blank"] += 1
+        elif c in ".,;:?'\"()-":
+            kinds["stop"] += 1
+        else:
+            kinds["upper" if c.isupper() else "lower" if c.islower() else "digit" if c.isdigit() else "mark"] += 1
+    letters = kinds["upper"] + kinds["lower"] + kinds["other"]
+    out = [math.log(1 + n), math.log(1 + len(words)), kinds["upper"] / max(1, letters)]
+    out += [kinds[k] / n for k in ("digit", "blank", "stop", "mark", "other")]
+    out.append(math.sqrt(kinds["mark"] / n))
+    if words:
+        w, lengths, distinct = len(words), [len(x) for x in words], set(words)
+        mean = sum(lengths) / w
+        out += [mean / 10, math.sqrt(sum((x - mean) ** 2 for x in lengths) / w) / 10, len(distinct) / w]
+        out.append(math.log((1 + w) / (1 + len(distinct))))
+        out.append(sum(words[i] == words[i + 1] for i in range(w - 1)) / w)
+        out.append(len({(words[i], words[i + 1]) for i in range(w - 1)}) / max(1, w - 1))
+        out.append(len([x for x in words if x.isupper()]) / w)
+        out.append(len([x for x in distinct if not x[-1].isalnum() and x[-1] not in ".,"]) / len(distinct))
+        out.append(min(1.0, max(lengths) / 100))
+    else:
+        out += [0.0] * 9
+    filled = [x for x in lines if x.strip()]
+    out += [math.log(1 + len(lines)), len(set(filled)) / max(1, len(filled)), math.log(1 + n / len(lines)) / 10]
+    return [*out, sum(text.count(c) for c in ".?!") / max(1, len(words))]
+
+
+ODD = [None, "", " ", "\n\n", "A", "é É ñ. ", "no  no no\nNO!", "x" * 500, "1 2 3 ; -- $$", "\x00 tab\there", "漢字 漢字"]
+
+
+def test_quality_equals_a_plain_model(spark):
+    """Statistics, normal equations summed over partitions, ridge weights and calibration, each by a direct way."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 300").select("doc_id", "text")
+    docs = docs.unionAll(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(ODD)], docs.schema)).repartition(5)
+    rows = quality.described(docs, {"doc_id": F.col("doc_id")})
+    x = {r["doc_id"]: r["x"] for r in rows.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i, text in texts.items():
+        assert x[i] == pytest.approx(plain_statistics(text), abs=1e-12), repr(text)
+    labels = spark.createDataFrame([(i, float(i % 3 == 0)) for i in texts], "_key long, y double")
+    known = quality.labelled(rows, labels, "doc_id").checkpoint()
+    model = quality.train(known, waves=40)
+    got = known.collect()
+    fit, kept = [r for r in got if not r["kept"]], [r for r in got if r["kept"]]
+    every = np.array([r["x"] for r in got])
+    assert np.allclose(model.centre, every.mean(0)) and np.allclose(model.scale, np.where(every.std(0) > 1e-9, every.std(0), 1))
+
+    def waves(rows):
+        z = np.clip((np.array([r["x"] for r in rows]) - model.centre) / model.scale, -8, 8)
+        return np.array([[*(math.sqrt(2 / 40) * math.cos(v) for v in z_i @ model.directions + model.phases), 1.0] for z_i in z])
+
+    phi, y = waves(fit), np.array([r["y"] for r in fit])
+    left = phi.T @ phi + np.diag([quality.RIDGE * len(fit)] * 40 + [1e-9])
+    assert np.allclose(model.weights, np.linalg.solve(left, phi.T @ y), atol=1e-6)
+    raw = waves(kept) @ model.weights
+    bins = {}
+    for s, r in zip(raw, kept):
+        bins.setdefault(min(max(math.floor((s + 0.5) / 2 * quality.BINS), 0), quality.BINS - 1), []).append((s, r["y"]))
+    sums = np.array([(np.mean([s for s, _ in v]), sum(t for _, t in v), len(v)) for _, v in sorted(bins.items())])
+    knots, rates = isotonic(*sums.T)
+    assert np.allclose(model.knots, knots, atol=1e-6) and np.allclose(model.rates, rates)
+    told = {r["doc_id"]: r["p"] for r in rows.select("doc_id", quality.score(model, F.col("x")).alias("p")).collect()}
+    order = list(told)
+    want = np.interp(waves([{"x": x[i]} for i in order]) @ model.weights, knots, rates)
+    assert np.allclose([told[i] for i in order], want, atol=1e-4)

@@ -104,7 +104,7 @@ def plain_targets(sizes):
         stopped |= over
 
 
-def test_mixing_targets_and_copies(docs):
+def test_mixing_targets_and_copies(docs, monkeypatch):
     rows = docs.collect()
     size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows}
     sums = Counter()
@@ -123,6 +123,8 @@ def test_mixing_targets_and_copies(docs):
     assert all(abs(taken[s] - want[s]) <= largest[s] for s in sums)
     again = {r["doc_id"]: r["copies"] for r in mixing.copies(docs.repartition(3)).collect()}
     assert again == {i: r["copies"] for i, r in got.items()}
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)  # many sources meet salted rows
+    assert again == {r["doc_id"]: r["copies"] for r in mixing.copies(docs).collect()}
 
 
 def test_mix_emits_whole_rows(docs):
@@ -291,8 +293,51 @@ def test_shared_counts_equal_plain_sets(spark, monkeypatch):
     rows = [(i, i // 3, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "row long, comp long, text string").repartition(3)
     sized = df.select(F.lit(100).alias("length"))
-    got = {r["row"]: (r["length"], r["shared"]) for r in neardup.shared_counts(df, sized).collect()}
+    rows_got = neardup.shared_counts(df, sized).collect()
+    assert all(np.frombuffer(r["parts"], "<u2").sum() == r["shared"] for r in rows_got)
+    got = {r["row"]: (r["length"], r["shared"]) for r in rows_got}
     parts = [set(shingled(t)) if t else set() for t in texts]
     for i, own in enumerate(parts):
         others = set().union(*[p for j, p in enumerate(parts) if j // 3 != i // 3])
         assert got[i] == (len(own), len(own & others))
+
+
+def test_every_letter_in_every_place(plain_tokenizer):
+    """Words of every alphabetic code point, alone, inside and at the end, with each mark behind."""
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    some = letters[:3000] + letters[3000::17]  # the Latin, Greek and Cyrillic ones all
+    words = [w for c in some for w in (c, c + ",", f"a{c}.", f"wg{c},", f"A{c}b")]
+    words += ["DİYARBAKIRİ.", "ΟΔΟΣ", "ΟΔΟΣ.", "ét́,", "a.,", ".", ",,", "'s", "x's", "9a", "a" * 64 + ".", "b" * 65, "aAaA" * 16]
+    own = packing.encoder(WORDS)
+    for first in range(0, len(words), 400):
+        part = words[first : first + 400]
+        got = own.of([" ".join(part), *part])
+        assert got[0] == b"".join(got[1:])
+        want = plain_tokenizer.encode_batch(part, add_special_tokens=False)
+        for w, ids, enc in zip(part, got[1:], want):
+            assert np.frombuffer(ids, "<u4").tolist() == enc.ids, repr(w)
+
+
+def test_merging_goes_on_while_a_bin_fits(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BINS_PER_TASK", 16)
+    items = [(i, n) for i, n in enumerate([70] * 40 + [30] * 3 + [29] * 37)]
+    df = spark.createDataFrame(items, "piece_id long, length long").repartition(16)
+    df = spark.createDataFrame(df.toPandas()).repartition(16)
+    places = packing.pack(df, size=100).join(df, "piece_id").collect()
+    fills = Counter()
+    for r in places:
+        fills[r["sequence_id"]] += r["length"]
+    one, two = sorted(fills.values())[:2]
+    assert len(places) == len(items) and one + two > 100
+
+
+def test_filter_of_row_numbers(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FILTER_PIECE", 1 << 9)
+    texts = spark.range(20_000).select(F.col("id").alias("row"))
+    wanted = texts.where("row % 97 = 5").repartition(3)
+    got = {r["row"] for r in neardup.holding(texts, wanted).collect()}
+    want = set(range(5, 20_000, 97))
+    assert want <= got and len(got) < 3 * len(want)
+    assert neardup.holding(texts, wanted.where("false")).count() < 200
+    monkeypatch.setattr(neardup, "FILTER_BITS", 64)
+    assert neardup.holding(texts, wanted) is texts
