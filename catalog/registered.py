@@ -12,7 +12,7 @@ from catalog import duck
 from catalog.tables import mined, mined_ctes, seeds_sql, table
 from factorloom.functions import crosssection as cs
 from factorloom.functions import timeseries as ts
-from factorloom.operators import chains, factors, library, named, panel, registry, selection, transforms
+from factorloom.operators import chains, factors, library, mining, named, panel, registry, selection, transforms
 from factorloom.plans.durable import scratch_path
 from factorloom.plans.skew import measure_layout
 from factorloom.sources import bars, factor_sets, panel_io
@@ -928,6 +928,73 @@ def _(spark, folder):
     return chains.cold_start_hints(spark, extra)
 
 
+# ---- one mining step, from bars to a prompt ----
+
+# Twelve expressions, three times each: linear copies are at distance 0 and form one cluster.
+MINED_GROUPS = [
+    *[COMPOSED_SET[f"G{i}"] for i in (1, 2, 3, 4, 5)],
+    "RANK(CLOSE - OPEN)", "TS_MEAN(RET, 5)", "RANK(VOLUME)", "Z_SCORE(HIGH - LOW)", "DELTA(CLOSE, 3)",
+    "CORREL(OPEN, VOLUME, 8)", "TS_STDDEV(VOLUME, 6)",
+]
+MINED_LIBRARY = [*MINED_GROUPS, *[f"({e}) * 3" for e in MINED_GROUPS], *[f"({e}) / 4" for e in MINED_GROUPS]]
+_MINED_TEXTS = ", ".join(f"({i}, '{e}')" for i, e in enumerate(MINED_LIBRARY))
+_MINED_SQL = (
+    f", texts(i, expression) as (values {_MINED_TEXTS}), "
+    "sizes as (select " + ", ".join(f'avg(abs("f{i}")) as f{i}' for i in range(24)) + " from matrix), "
+    "scores as (select cast(substring(f, 2) as integer) as i, round(s, 9) as score from (unpivot sizes on * into name f value s)), "
+    "exemplars as (select i + 1 as place, i as factor_id, expression, i % 12 as cluster, cast(floor(i / 12) as integer) + 1 as turn, "
+    "score from scores join texts using (i)), "
+    "slots as (select *, row_number() over (order by score desc, place) - 1 as slot from exemplars) "
+)
+
+
+def mining_run(spark, folder):
+    rows = [(i, f"alpha_{i + 1}", e) for i, e in enumerate(MINED_LIBRARY)]
+    known = spark.createDataFrame(rows, "pos long, name string, expression string")
+    return mining.mining_step(
+        weekly(spark, folder), known, scratch_path(spark, "mining"), k=12, n=24, whitelist=["RANK", "DELTA", "TS_MEAN", "CORREL"]
+    )
+
+
+def _mined_formulas(final: str) -> str:
+    return duck.formulas_sql({f"f{i}": e for i, e in enumerate(MINED_LIBRARY[:24])}, fill=True, final=_MINED_SQL + final)
+
+
+@query(
+    "M1_mining_exemplars",
+    _mined_formulas(
+        "select place, factor_id, expression, cluster, turn, round(score, 6) as score, "
+        "cast(floor(slot / 8) as integer) as chain_id, cast(slot % 8 as integer) as pos from slots"
+    ),
+)
+def _(spark, folder):
+    step = mining_run(spark, folder)
+    placed = step.exemplars.join(step.chains.select("chain_id", "pos", "expression"), "expression")
+    return placed.select(
+        "place", "factor_id", "expression", "cluster", "turn", F.round("score", 6).alias("score"), "chain_id", "pos"
+    )
+
+
+@query(
+    "M2_mining_prompt",
+    _mined_formulas(
+        f", cards(op, card) as (values {_CARDS_SQL}), "
+        "used as (select distinct unnest(regexp_extract_all(expression, "
+        r"'\b(RANK|DELTA|TS_MEAN|TS_STDDEV|CORREL|Z_SCORE|SIGN|ABS)\b', 1)) as op from exemplars), "
+        "a as (select list(op order by op) as ops, string_agg(card, chr(10) || chr(10) order by op) as cards "
+        "from used join cards using (op) where op in ('RANK', 'DELTA', 'TS_MEAN', 'CORREL')), "
+        "s as (select string_agg('- ' || expression, chr(10) order by place) as sb from exemplars), "
+        "p as (select string_agg('- ' || expression, chr(10) order by slot) as pb from slots where slot < 8) "
+        "select 0 as run_id, ops, cards, substring(md5(cards), 1, 8) as checksum, "
+        f"'{_prompt_parts[0]}' || substring(md5(cards), 1, 8) || '{_prompt_parts[1]}' || cards || '{_prompt_parts[2]}' || sb || "
+        f"'{_prompt_parts[3]}' || pb || '{_prompt_parts[4]}' || '5' || '{_prompt_parts[5]}' || "
+        f"'AMOUNT, CLOSE, HIGH, LOW, OPEN, RET, VOLUME, VWAP' || '{_prompt_parts[6]}' as prompt from a, s, p"
+    ),
+)
+def _(spark, folder):
+    return mining_run(spark, folder).prompt
+
+
 # ---- primitives of the named library ----
 
 dense("N1_delay_delta", {"delay": "delay(close, 5)", "delta": "delta(close, 5)"})

@@ -81,14 +81,14 @@ def weighted_price_node(reader):
 
 
 def register_operator(
-    name: str, fn, *, by: str | None = None, series: int = 1, integers: int = 0, lookback=None
+    name: str, fn, *, by: str | None = None, series: int = 1, integers: int = 0, lookback=None, lookahead=None
 ) -> None:
     """Make ``name`` usable in composed formulas.
 
     Row-wise: ``fn(*columns, *ints) -> Column``.  ``by="symbol"``: ``fn`` also
     receives the :class:`SymbolFrame` as last argument and ``lookback(*ints)``
-    must say how many earlier rows it reads.  ``by="date"``: ``fn`` is a
-    :class:`DateMoments`.
+    must say how many earlier rows it reads, ``lookahead(*ints)`` how many later
+    ones (none, if it is not given).  ``by="date"``: ``fn`` is a :class:`DateMoments`.
     """
     if by == "symbol" and lookback is None:
         raise ValueError("a per-symbol operator must declare its lookback")
@@ -101,6 +101,7 @@ def register_operator(
         series=series,
         integers=integers,
         lookback=lookback or (lambda *ints: 0),
+        lookahead=lookahead or (lambda *ints: 0),
         repeats_arguments=by is None,
     )
     if by is not None:
