@@ -5,15 +5,18 @@ A run or chain may be very large, so it is never collected into one array.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.elementwise import drop_nan
+from factorloom.plans.durable import durable
 from factorloom.plans.skew import number_rows
 
 # Number of starting chains and the longest chain kept whole.
 CHAIN_COUNT = 3
 MAX_CHAIN_LENGTH = 5
+# A run with at most so many different chains lays them out in one array; more are found by an index.
+FEW_CHAINS = 64
 
 # Hints used before any experience exists.
 COLD_START_HINTS = (
@@ -26,8 +29,6 @@ COLD_START_HINTS = (
 
 # Every white-space character, for regular expressions.
 BLANKS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-# Chains compared in one array; further chains of a run go to further arrays.
-CHAIN_BLOCK = 64
 
 
 def score_factors(factors: DataFrame, scores: DataFrame | None = None) -> DataFrame:
@@ -90,46 +91,112 @@ def tokenize(expression: Column) -> Column:
 def match_chain(samples: DataFrame, chains: DataFrame) -> DataFrame:
     """For each sample (``run_id, sample_id, expression``) the chain of its run most alike.
 
-    Jaccard over tokens; the lowest ``chain_id`` wins a tie.  A run's chains lie
-    in arrays of about ``CHAIN_BLOCK``, so a sample meets each array once and
-    pairs are never laid out as rows.  A sample whose run has no chain gets NULL
-    for both results.  Rows that repeat a sample in all columns come out once each.
+    Jaccard over tokens; the lowest ``chain_id`` wins a tie.  Samples and chains
+    are compared as token sets, equal ones once: directly where a run has few
+    chains, else by :func:`nearest_sets`.  A sample that shares no token with a
+    chain gets the first chain and 0; one whose run has no chain gets NULL for both
+    results.  Rows that repeat a sample in all columns come out once each.
     """
     columns = samples.columns
     samples = samples.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
+    samples = samples.withColumn("_own", tokenize(F.col("expression")))
     tokens = chains.select("run_id", "chain_id", F.explode(tokenize(F.col("expression"))).alias("t"))
-    sets = tokens.groupBy("run_id", "chain_id").agg(F.collect_set("t").alias("tokens"))
-    first = chains.groupBy("run_id").agg(F.min("chain_id").alias("_first"))
-    counts = sets.groupBy("run_id").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(CHAIN_BLOCK)).alias("_blocks")
+    sets = tokens.groupBy("run_id", "chain_id").agg(F.sort_array(F.collect_set("t")).alias("tokens"))
+    sets = durable(sets.groupBy("run_id", "tokens").agg(F.min("chain_id").alias("chain_id")))
+    asked = samples.select("run_id", F.col("_own").alias("tokens")).distinct()
+    counts = durable(sets.groupBy("run_id").agg(F.count(F.lit(1)).alias("_chains")))
+    few, many = (counts.where(F.col("_chains") <= FEW_CHAINS), counts.where(F.col("_chains") > FEW_CHAINS))
+    best = _nearest_of_few(asked, sets.join(few.select("run_id"), "run_id", "left_semi"))
+    if not many.isEmpty():
+        large = many.select("run_id")
+        searched = nearest_sets(asked.join(large, "run_id", "left_semi"), sets.join(large, "run_id", "left_semi"))
+        best = best.unionByName(searched.drop("met"))
+    best = best.withColumnRenamed("tokens", "_own")
+    first = chains.groupBy("run_id").agg(F.min("chain_id").alias("_any")).join(
+        sets.groupBy("run_id").agg(F.min("chain_id").alias("_first")), "run_id", "left"
     )
-    blocks = (
-        sets.join(counts, "run_id")
-        .withColumn("_block", F.pmod(F.xxhash64("chain_id"), F.col("_blocks")))
-        .groupBy("run_id", "_block")
-        .agg(F.collect_list(F.struct("chain_id", "tokens")).alias("_chains"))
-    )
-    own = tokenize(F.col("expression"))
-    joined = samples.withColumn("_own", own).join(blocks, "run_id", "left")
-
-    def candidate(chain: Column) -> Column:
-        shared = F.size(F.array_intersect(F.col("_own"), chain["tokens"]))
-        united = F.size(F.col("_own")) + F.size(chain["tokens"]) - shared
-        return F.struct(
-            F.try_divide(shared, united).alias("score"), (-chain["chain_id"]).alias("neg")
-        )
-
-    best = F.array_max(F.transform(F.col("_chains"), candidate))
-    scored = joined.withColumn("_best", best).groupBy(*samples.columns).agg(F.max("_best").alias("_best"))
+    joined = samples.join(best, ["run_id", "_own"], "left").join(first, "run_id", "left")
     return (
-        scored.join(first, "run_id", "left")
-        .withColumn("chain_id", F.coalesce(-F.col("_best.neg"), F.col("_first")))
-        .withColumn("score", F.coalesce(F.col("_best.score"), F.when(F.col("_first").isNotNull(), 0.0)))
+        joined.withColumn("chain_id", F.coalesce("chain_id", "_first", "_any"))
+        .withColumn("score", F.coalesce("score", F.when(F.col("_any").isNotNull(), 0.0)))
         .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
         .select(*columns, "chain_id", "score")
     )
 
 
+def _nearest_of_few(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """``run_id, tokens, chain_id, score``, with all sets of a run (at most ``FEW_CHAINS``) in one array."""
+    held = sets.groupBy("run_id").agg(F.collect_list(F.struct("chain_id", "tokens")).alias("_sets"))
+
+    def candidate(other: Column) -> Column:
+        shared = F.size(F.array_intersect(F.col("tokens"), other["tokens"]))
+        united = F.size(F.col("tokens")) + F.size(other["tokens"]) - shared
+        return F.struct(F.try_divide(shared, united).alias("score"), (-other["chain_id"]).alias("neg"))
+
+    best = F.array_max(F.transform("_sets", candidate))
+    found = asked.join(held, "run_id").withColumn("best", best).where(F.col("best.score") > 0)
+    return found.select("run_id", "tokens", (-F.col("best.neg")).alias("chain_id"), F.col("best.score").alias("score"))
+
+
+def nearest_sets(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """``run_id, tokens, chain_id, score, met``: for each asked token set its most similar set of the run.
+
+    ``asked``: distinct ``run_id, tokens``; ``sets``: ``run_id, tokens, chain_id``,
+    a ``chain_id`` once in a run; token arrays are distinct and sorted.  Sets without a common token do
+    not come out; ``met`` says with how many sets one was compared.
+
+    An index leads from tokens to the sets that hold them.  Every asked set is
+    first compared with the smallest set behind each of its tokens.  Then its
+    tokens are followed from the rarest on, to sets of a length that can still
+    reach its best score.  A set that holds none of the first r tokens shares at
+    most the others, which bounds its score; an asked set is done as soon as that
+    bound is below its best score, usually before it comes to the common tokens.
+    """
+    index = durable(sets.select("run_id", "chain_id", F.size("tokens").alias("b"), F.explode("tokens").alias("t")))
+    found = index.groupBy("run_id", "t").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("b", "chain_id"))["chain_id"].alias("seed")
+    )
+    least = sets.groupBy("run_id").agg(F.min(F.when(F.size("tokens") > 0, F.size("tokens"))).alias("least"))
+    numbered = durable(asked.withColumn("ask", F.monotonically_increasing_id()).withColumn("a", F.size("tokens")))
+    by_set = Window.partitionBy("ask")
+    places = durable(
+        numbered.select("ask", "run_id", "a", F.explode("tokens").alias("t"))
+        .join(found, ["run_id", "t"])
+        .join(least, "run_id")
+        .withColumn("place", F.row_number().over(by_set.orderBy("n", "t")) - 1)
+        .withColumn("m", F.count(F.lit(1)).over(by_set))
+    )
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The best of the candidates ``ask, chain_id`` of every asked set, and their number."""
+        both = pairs.join(numbered, "ask").join(sets.withColumnRenamed("tokens", "_tokens"), ["run_id", "chain_id"])
+        shared = F.size(F.array_intersect("tokens", "_tokens"))
+        score = F.try_divide(shared, F.size("tokens") + F.size("_tokens") - shared)
+        return both.groupBy("ask").agg(
+            F.max(F.struct(score.alias("score"), (-F.col("chain_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("met")
+        )
+
+    state = durable(compared(places.select("ask", F.col("seed").alias("chain_id")).distinct()))
+    first, width = 0, 1
+    while True:
+        rest = F.col("m") - F.lit(first)
+        bound = rest / (F.col("a") + F.greatest(F.col("least"), rest) - rest)
+        ahead = places.join(state.select("ask", F.col("best.score").alias("score")), "ask").where(
+            (F.col("place") >= first) & (bound >= F.col("score") - 1e-12)
+        )
+        now = ahead.where(F.col("place") < first + width)
+        if now.isEmpty():
+            break
+        longest = F.col("a") / F.col("score") + 1e-9
+        near = now.join(index, ["run_id", "t"]).where((F.col("b") >= F.col("score") * F.col("a") - 1e-9) & (F.col("b") <= longest))
+        met = compared(near.select("ask", "chain_id").distinct())
+        merged = state.unionByName(met).groupBy("ask").agg(F.max("best").alias("best"), F.sum("met").alias("met"))
+        state, first, width = durable(merged), first + width, 2 * width
+    return numbered.join(state, "ask").select(
+        "run_id", "tokens", (-F.col("best.neg")).alias("chain_id"), F.col("best.score").alias("score"), "met"
+    )
+
+
 def extend_or_split(chains: DataFrame, additions: DataFrame) -> DataFrame:
     """Adds one new expression to each chain named in ``additions`` (``run_id, chain_id, new``).
 

@@ -69,8 +69,7 @@ def brute_match(sample, candidates):
     return best
 
 
-def test_match_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(chains, "CHAIN_BLOCK", 4)  # several blocks per run
+def test_match_equals_brute_force(spark):
     seeds = library.seed_list()
     groups = [seeds[i : i + 3] for i in range(0, 60, 3)]
     rows = [(1, c, p, e) for c, g in enumerate(groups) for p, e in enumerate(g)]
