@@ -4,10 +4,10 @@ Every source gets a target: its weight's share of all sizes, stopped at
 ``most`` times its own size, with the excess shared again by weight until no
 target is above.  Inside a source, documents stand in order of size; each adds
 its expected copies (target / size of the source) to a prefix sum that starts at
-one random offset per source (of several drawn, the one whose words come nearest
-to the target), and is emitted once per integer boundary that it crosses.  Documents of similar size are neighbours; every second run of
-neighbours that shares one copy stands in falling order, so that a run's excess
-is made up by the next one.  The words taken differ from the target by a part of
+one random offset per source, and is emitted once per integer boundary that it
+crosses.  Documents of similar size are neighbours; every second run of neighbours
+that shares one copy stands in falling order, so that a run's excess is made up by
+the next one.  The words taken differ from the target by a part of
 one document's size, and no document is emitted more often than its expected
 copies rounded up.
 
@@ -30,8 +30,9 @@ from factorloom.plans.skew import running_total
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
-# Offsets drawn per source; the one that comes nearest to the target is used.
-DRAWS = 16
+# A table of so many sources is sent to every task; a larger one meets rows that are salted so many ways.
+FEW_SOURCES = 50_000
+SALTS = 64
 # Expected copies are counted in steps of 2**-24, so prefix sums are exact integers.
 STEPS = 1 << 24
 
@@ -101,34 +102,34 @@ def copies(
     goal = goal.withColumn("whole", F.floor(rate)).withColumn(
         "steps", F.round((rate - F.floor(rate)) * STEPS).cast("long")
     )
-    joined = placed.join(goal, "source_key")
+    joined = _with_source(placed, goal)
     # Run b holds the places from first(b) up to first(b + 1), together one further copy.
     run = F.shiftright(F.col("before") * F.col("steps"), 24)
     first = F.expr(f"(run * {STEPS} + steps - 1) div steps")
     behind = F.least(F.expr(f"((run + 1) * {STEPS} + steps - 1) div steps"), F.col("rows"))
     turned = F.when((F.col("steps") > 0) & (F.col("run") % 2 == 1), first + behind - 1 - F.col("before"))
     at = F.coalesce(turned, F.col("before"))
-    joined = stored(joined.withColumn("run", run).withColumn("at", at).drop("run", "before", "rows"), "places")
+    joined = joined.withColumn("run", run).withColumn("at", at)
+    offset = F.pmod(F.xxhash64("source_key", F.lit(seed)), F.lit(STEPS))
 
-    def taken(offset: Column) -> Column:
-        def crossed(rows: Column) -> Column:
-            return F.shiftright(offset + rows * F.col("steps"), 24)
+    def crossed(rows: Column) -> Column:
+        return F.shiftright(offset + rows * F.col("steps"), 24)
 
-        return F.col("whole") + crossed(F.col("at") + 1) - crossed(F.col("at"))
-
-    drawn = [F.pmod(F.xxhash64("source_key", F.lit(seed), F.lit(i)), F.lit(STEPS)) for i in range(DRAWS)]
-    words = joined.groupBy("source_key").agg(
-        F.first("target").alias("goal"), *[F.sum(taken(u) * F.col("size")).alias(f"words{i}") for i, u in enumerate(drawn)]
-    )
-    off = [F.struct(F.abs(F.col(f"words{i}") - F.col("goal")), F.lit(i), u) for i, u in enumerate(drawn)]
-    chosen = words.select("source_key", F.array_min(F.array(*[o.cast(_DRAW) for o in off]))["offset"].alias("offset"))
-    return joined.join(chosen, "source_key").select(
+    drawn = F.col("whole") + crossed(F.col("at") + 1) - crossed(F.col("at"))
+    return joined.select(
         *[F.col(n).alias(c) for n, c in zip(names, keep)],
-        "row_key", "size", "source_size", "target", taken(F.col("offset")).cast("long").alias("copies"),
+        "row_key", "size", "source_size", "target", drawn.cast("long").alias("copies"),
     )
 
 
-_DRAW = "struct<apart: double, draw: int, offset: long>"
+def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with the columns of their source, wherever they lie: a source may hold most rows."""
+    sources = stored(sources, "goals")
+    if sources.count() <= FEW_SOURCES:
+        return rows.join(F.broadcast(sources), "source_key")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)))
+    copied = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return salted.join(copied, ["source_key", "_salt"]).drop("_salt")
 
 
 def row_key(docs: DataFrame, identity: Sequence[str]) -> Column:
