@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factorloom.llm.common import stored
-from factorloom.llm.texts import blank_parts, bounded, restored, with_texts
+from factorloom.llm.texts import blank_parts, bounded, byte_letters, restored, with_texts
 
 # Links of a chunk (a longer document is a chunk of its own), and pairs that a slice should meet.
 CHUNK = 1_000_000
@@ -124,14 +124,6 @@ def group_links(a_ends: np.ndarray, b_ends: np.ndarray) -> Csr:
     return in_groups(a_ends, cuts) @ in_groups(b_ends, cuts).transposed()
 
 
-def byte_letters() -> dict[str, int]:
-    """Byte of each letter in which byte-level vocabularies are written: visible Latin-1 letters stand for
-    themselves, the other bytes in order for the letters from U+0100."""
-    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or (0xA1 <= b <= 0xFF and b != 0xAD)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Pair:
     """Both tokenizers, and what is known of parts of texts."""
 

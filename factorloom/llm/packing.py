@@ -7,8 +7,10 @@ Three steps, each usable alone:
 * :func:`pack`: *hierarchical residual packing*.  Every partition packs its own
   pieces best-fit (longest first); bins that are nearly full are final.  The
   underfull bins move on as items: each round merges the bins of several
-  partitions in one task and fits them again, until one task holds the rest or
-  a round no longer saves bins;
+  partitions in one task and fits them again.  A bin is final when it is nearly
+  full or not even the smallest bin fits in.  When a round saves no bin, the next
+  one brings bins together that would fill each other up; if that saves none
+  either, the rest is final;
 * :func:`sequences`: the packed token ids themselves.
 
 Defined results: a NULL text is an empty one; an empty document is its end id
@@ -20,19 +22,27 @@ input.  A very long text is cut into as many pieces as it needs.
 
 from __future__ import annotations
 
+import re
+import zlib
 from array import array
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factorloom.llm.common import stored
+from factorloom.llm.texts import bounded, byte_letters
 
 SEQUENCE = 2048
 END_ID = 0
+# Characters of texts encoded together.
+CHARACTERS = 4_000_000
 # A bin with at most this share of its place left is final.
 SLACK = 1 / 256
 # One merging task fits at most so many bins; so many partitions merge into one.
@@ -42,76 +52,149 @@ FAN_IN = 8
 _ENCODERS: dict[str, "WordIds"] = {}
 
 
+class WordMerges:
+    """Merges of a vocabulary with word ends, for many words at a time.
+
+    Every round merges the leftmost of each word's pairs of the lowest rank, as
+    merging one word alone would; words without a pair leave.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str):
+        letters = {b: c for c, b in byte_letters().items()}
+        self._inner = np.array([vocabulary[letters[b]] for b in range(256)], "int64")
+        self._last = np.array([vocabulary[letters[b] + end] for b in range(256)], "int64")
+        self._width = max(vocabulary.values()) + 1
+        keys = np.array([vocabulary[a] * self._width + vocabulary[b] for a, b in merges], "int64")
+        order = np.argsort(keys, kind="stable")
+        self._keys = np.r_[keys[order], np.int64(1 << 62)]
+        self._ranks = np.r_[order, self.NONE]
+        self._made = np.array([vocabulary[a + b] for a, b in merges], "int64")
+
+    NONE = np.int64(1 << 40)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self._width + right
+        at = np.searchsorted(self._keys, key)
+        return np.where(self._keys[at] == key, self._ranks[at], self.NONE)
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Ids (little-endian 32-bit) of words of at least one byte."""
+        sizes = np.array([len(w) for w in words], "int64")
+        data = np.frombuffer(b"".join(words), "uint8")
+        owner = np.repeat(np.arange(len(words)), sizes)
+        ids = self._inner[data]
+        lasts = np.cumsum(sizes) - 1
+        ids[lasts] = self._last[data[lasts]]
+        rank = np.full(len(ids), self.NONE)  # of the pair that starts here
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inside] = self._rank(ids[inside], ids[inside + 1])
+        done_ids, done_owner = [], []
+        while len(ids):
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(ids)]))
+            over = lowest == self.NONE
+            if over.any():
+                done_ids.append(ids[over])
+                done_owner.append(owner[over])
+                ids, owner, rank, lowest = ids[~over], owner[~over], rank[~over], lowest[~over]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == lowest)
+            at = at[np.r_[True, owner[at[1:]] != owner[at[:-1]]]]
+            ids[at] = self._made[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # one symbol goes behind each
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            left = at[(at > 0) & (owner[at - 1] == owner[at])] - 1
+            rank[left] = self._rank(ids[left], ids[left + 1])
+            rank[at] = self.NONE
+            right = at[at + 1 < len(ids)]
+            right = right[owner[right] == owner[right + 1]]
+            rank[right] = self._rank(ids[right], ids[right + 1])
+        if not done_ids:
+            return []
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        flat = ids[order].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends)]
+
+
 class WordIds:
     """Ids (little-endian bytes) by blank-separated word.
 
     The vocabulary drops white space and letter case and never joins text across
     white space or between a letter and a mark, so a text's ids are those of its
-    words in order.  Words that a batch of texts adds are encoded together; up to
-    ``ENTRIES`` of them stay known.
+    words in order.  Words that a batch of texts adds are encoded together: Latin
+    letters, perhaps with a full stop or comma behind them, by :class:`WordMerges`,
+    all others by the tokenizer itself.  Up to ``ENTRIES`` of them stay known.
     """
 
-    ENTRIES, LONGEST = 600_000, 64
+    ENTRIES = 400_000
+    # Latin letters that are one letter each in lower case.
+    PLAIN = re.compile("^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64})([.,]?)$", re.M)
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        names = self._tokenizer.get_vocab()
-        self._last = np.zeros(max(names.values()) + 1, bool)  # ids that end a run of letters
-        self._last[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as text:
+            model = json.load(text)["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self._merges = WordMerges(model["vocab"], merges, model["end_of_word_suffix"])
         self.known: dict[str, bytes] = {"": b""}
-        self._tails = {mark: self._one(mark) for mark in ".,"}
+        self._tails = {"": b""} | {mark: self._one(mark) for mark in ".,"}
 
     def _one(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _runs(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters only, encoded as one text: each ends at its one last id."""
-        out = {}
-        for first in range(0, len(words), 256):
-            part = words[first : first + 256]
-            ids = np.array(self._tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = ((np.flatnonzero(self._last[ids]) + 1) * 4).tolist()
-            data = ids.tobytes()
-            if len(ends) == len(part):
-                out.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends))))
-            else:  # a letter that the vocabulary's normalisation takes apart
-                out.update((w, self._one(w)) for w in part)
-        return out
+    def _others(self, words: list[str]) -> None:
+        """Any words, many in one text; a token belongs to the word in which its characters start."""
+        for first in range(0, len(words), 512):
+            part = words[first : first + 512]
+            found = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(w) + 1 for w in part])
+            starts = np.array([x for x, _ in found.offsets], "int64")
+            cuts = (4 * np.searchsorted(starts, ends)).tolist()
+            flat = array("I", found.ids).tobytes()
+            self.known.update(zip(part, [flat[i:j] for i, j in zip([0, *cuts], cuts)]))
 
     def _learn(self, missing: set[str]) -> None:
-        plain, tailed, known = {}, {}, self.known
-        for w in missing:
-            base = w.lower() if w.isascii() else w
-            tail = base[-1:] if base[-1:] in self._tails else ""
-            base = base[: len(base) - len(tail)]
-            if base.isalpha() and len(base) <= self.LONGEST:
-                if base not in known:
-                    plain[base] = None
-                tailed[w] = base, tail
-            else:
-                known[w] = self._one(w)
-        runs = self._runs(list(plain))
-        for w, (base, tail) in tailed.items():
-            ids = runs[base] if base in runs else known[base]
-            known[w] = ids + self._tails[tail] if tail else ids
+        found = self.PLAIN.findall("\n".join(missing))
+        whole = [base + mark for base, mark in found]
+        self._others(list(missing.difference(whole)))
+        lows = "\n".join([base for base, _ in found]).lower().split("\n") if found else []
+        bases = list(set(lows))
+        ids = dict(zip(bases, self._merges.of([w.encode() for w in bases])))
+        tails = self._tails
+        self.known.update(zip(whole, [ids[low] + tails[mark] for low, (_, mark) in zip(lows, found)]))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        flat = [t.replace("\n", " ") for t in texts]
-        missing = set(" ".join(flat).split(" ")).difference(self.known)
+        """Ids of every text.  Arrow splits the texts and numbers their words; only distinct ones are looked up."""
+        if not texts:
+            return []
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        numbered = cut.flatten().dictionary_encode()
+        words, at = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
+        known = self.known
+        missing = set(words).difference(known)
         self._learn(missing)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, t.split(" "))) for t in flat]
-        surplus = len(self.known) - self.ENTRIES
-        if surplus > 0:
-            if len(missing) > self.ENTRIES // 8:
-                self.known = {"": b""}
-            else:
-                for w in missing:
-                    self.known.pop(w, None)
-        return out
+        parts = list(map(known.__getitem__, words))
+        sizes = np.fromiter(map(len, parts), "int64", len(parts)) // 4
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        each = sizes[at]
+        ends = np.cumsum(each)
+        from_ = (np.cumsum(sizes) - sizes)[at] - (ends - each)
+        out = ids[np.repeat(from_, each) + np.arange(ends[-1] if len(ends) else 0)]
+        surplus = len(known) - self.ENTRIES
+        for w in islice(missing, max(0, surplus)):  # the newest ones go: what is frequent was met early
+            del known[w]
+        cuts = np.r_[0, ends][cut.offsets.to_numpy()].tolist()
+        return [out[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
 
 
 def encoder(path: str) -> WordIds:
@@ -128,8 +211,9 @@ def cut_pieces(
     keep: Sequence[str] = ("doc_id",),
     size: int = SEQUENCE,
     end_id: int = END_ID,
+    ids: bool = True,
 ) -> DataFrame:
-    """``*keep, piece, start, length, ids`` (ids: little-endian 32-bit), one row per piece."""
+    """``*keep, piece, start, length, ids_crc32, ids`` (little-endian 32-bit; left out without ``ids``) per piece."""
     picked = docs.select(
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text")
     )
@@ -140,28 +224,30 @@ def cut_pieces(
             T.StructField("piece", T.IntegerType()),
             T.StructField("start", T.LongType()),
             T.StructField("length", T.LongType()),
-            T.StructField("ids", T.BinaryType()),
+            T.StructField("ids_crc32", T.LongType()),
         ]
+        + [T.StructField("ids", T.BinaryType())] * ids
     )
     end, step = array("I", [end_id]).tobytes(), 4 * size
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = encoder(tokenizer)
         for batch in batches:
-            for first in range(0, len(batch), 500):
-                part = batch.iloc[first : first + 500]
-                row, piece, ids = [], [], []
+            for part in bounded(batch, "text", CHARACTERS):
+                row, piece, cuts = [], [], []
                 for i, data in enumerate(words.of([t or "" for t in part["text"]])):
                     data += end
                     for p, at in enumerate(range(0, len(data), step)):
                         row.append(i)
                         piece.append(p)
-                        ids.append(data[at : at + step])
+                        cuts.append(data[at : at + step])
                 made = part[names].iloc[row].reset_index(drop=True)
                 made["piece"] = np.array(piece, "int32")
                 made["start"] = np.array(piece, "int64") * size
-                made["length"] = np.array([len(x) // 4 for x in ids], "int64")
-                made["ids"] = ids
+                made["length"] = np.array([len(x) // 4 for x in cuts], "int64")
+                made["ids_crc32"] = np.array([zlib.crc32(x) for x in cuts], "int64")
+                if ids:
+                    made["ids"] = cuts
                 yield made
 
     pieces = picked.mapInPandas(cut, out)
@@ -236,20 +322,29 @@ def pack(pieces: DataFrame, item: str = "piece_id", length: str = "length", size
         if rows := list(batches):
             yield _merge(rows, size)
 
-    bins = stored(start.mapInPandas(local, BIN), "bins")
-    done = []
-    open_bins = bins.where(F.col("fill") < full)
-    left, width = open_bins.count(), open_bins.rdd.getNumPartitions()
-    done.append(bins.where(F.col("fill") >= full))
-    while left:
-        width = max(1, -(-width // FAN_IN), -(-left // BINS_PER_TASK))
-        bins = stored(open_bins.repartition(width).mapInPandas(again, BIN), "bins")
-        still = bins.where(F.col("fill") < full).count()
-        if width == 1 or still > 0.98 * left:
+    done, left, width, stuck = [], None, start.rdd.getNumPartitions(), 0
+    made = start.mapInPandas(local, BIN)
+    while True:
+        bins = stored(made, "bins")
+        # A bin into which not even the smallest bin fits is final, too.
+        least = bins.where(F.col("fill") < full).agg(F.min("fill"), F.count(F.lit(1))).first()
+        final = (F.col("fill") >= full) | (F.col("fill") + F.lit(least[0]) > size)
+        if not least[1]:
             done.append(bins)
             break
-        done.append(bins.where(F.col("fill") >= full))
-        open_bins, left = bins.where(F.col("fill") < full), still
+        open_bins = bins.where(~final)
+        before, left = left, open_bins.count()
+        narrower = max(1, -(-width // FAN_IN), -(-left // BINS_PER_TASK))
+        stuck = stuck + 1 if before is not None and narrower >= width and left >= before else 0
+        if left < 2 or stuck > 1:
+            done.append(bins)  # nothing joins any more
+            break
+        done.append(bins.where(final))
+        width = min(width, narrower)
+        dealt = open_bins.repartition(width)
+        if stuck:  # bins that would fill each other up come together
+            dealt = open_bins.repartitionByRange(width, F.least(F.col("fill"), F.lit(size) - F.col("fill")), "fill")
+        made = dealt.mapInPandas(again, BIN)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -271,9 +366,9 @@ def pack(pieces: DataFrame, item: str = "piece_id", length: str = "length", size
 
 
 def stored_pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str] = ("doc_id",),
-                  size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+                  size: int = SEQUENCE, end_id: int = END_ID, ids: bool = True) -> DataFrame:
     """The pieces of :func:`cut_pieces` with a fixed ``piece_id``, written once."""
-    cut = cut_pieces(docs, tokenizer, text, keep, size, end_id)
+    cut = cut_pieces(docs, tokenizer, text, keep, size, end_id, ids)
     return stored(cut.withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
 
 

@@ -25,9 +25,9 @@ def query(name: str):
 
 @query("op1_best_fit_packing")
 def _(spark, folder):
-    pieces = packing.stored_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    digest = pieces.select("piece_id", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return digest.join(packing.pack(pieces), "piece_id").drop("piece_id")
+    docs, tokenizer = table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.stored_pieces(docs, tokenizer, ids=False)
+    return pieces.join(packing.pack(pieces), "piece_id").drop("piece_id")
 
 
 @query("op5_mixing_sources")
