@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document goes: ``doc_id, piece, start, length, sequence_id, offset``."""
-    pieces = packing.stored_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.stored_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False)
     placed = pieces.select("piece_id", "doc_id", "piece", "start", "length").join(packing.pack(pieces), "piece_id")
     return placed.drop("piece_id")
 
