@@ -103,11 +103,11 @@ def exact_pair(x: str, y: str, grid_x: int, grid_y: int, n: int) -> dict[str, st
 
 
 def exact_correl_sql(x: str, y: str, grid_x: int, grid_y: int, n: int) -> str:
-    """A correlation whose numerator is a whole number: it is 0 where it truly is."""
+    """A correlation of whole numbers: it is 0, 1 or -1 where it truly is."""
     m = {k: f"cast({v} as double)" for k, v in exact_pair(x, y, grid_x, grid_y, n).items()}
     return (
         f"case when {m['xx']} > 0 and {m['yy']} > 0 "
-        f"then greatest(-1.0, least(1.0, {m['xy']} / sqrt({m['xx']}) / sqrt({m['yy']}))) end"
+        f"then greatest(-1.0, least(1.0, {m['xy']} / sqrt({m['xx']} * {m['yy']}))) end"
     )
 
 

@@ -6,15 +6,20 @@ from factorloom.functions import crosssection as cs
 from factorloom.functions import elementwise as ew
 from factorloom.functions import timeseries as ts
 from factorloom.plans.expressions import ADD
-from factorloom.plans.staging import Operator, mark_inexact
+from factorloom.plans.staging import Node, Operator, mark_inexact
 
 
 
-def window_terms(name: str, table):
-    """Terms of a window sum: the same window over the sizes of what it adds; an own field has one sign."""
+def window_terms(name: str, table, total: bool = False):
+    """Terms of a window mean (or sum): the same window over the sizes of what it adds; an own field has one sign."""
 
     def terms(columns, x, n):
-        return None if x.leaf else columns.apply(table()[name], columns.size(x), n)
+        if x.leaf:
+            return None
+        size = columns.size(x)
+        if not isinstance(size, Node):
+            return size * n if total else size
+        return columns.apply(table()[name], size, n)
 
     return terms
 
@@ -24,6 +29,8 @@ def delta_terms(delay: Operator):
 
     def terms(columns, x, n):
         size = columns.size(x)
+        if not isinstance(size, Node):
+            return 2 * size
         return columns.apply(ADD, size, columns.apply(delay, size, n))
 
     return terms

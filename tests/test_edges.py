@@ -45,6 +45,9 @@ def test_what_cancels_to_nothing_ties_at_zero(spark):
     assert last_ranks(spark, "rank(cov(close, volume, 3))", named=True) == tied
     # The same mean twice, added up in two ways.
     assert set(last_ranks(spark, "RANK(TS_MEAN(CLOSE / 3, 3) - TS_MEAN(CLOSE, 3) / 3)").values()) == {0.6}
+    # Terms of a fixed size, summed and differenced.
+    assert set(last_ranks(spark, "RANK(TS_MEAN(CORREL(CLOSE, VOLUME, 2), 2) * 0 + 1)").values()) == {0.6}
+    assert last_ranks(spark, "rank(sum(cor(close, volume, 3), 1))", named=True) == tied
     # 1e-12 and its multiples are no rounding errors.
     small = last_ranks(spark, "RANK(TS_MEAN(VOLUME, 3) * 0.000000000001)")
     assert small == {"b": 0.6, "a": 0.8, "c": 1.0, "d": 0.3, "e": 0.3}
