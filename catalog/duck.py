@@ -84,7 +84,7 @@ def correl_sql(x: str, y: str, n: int) -> str:
     return (
         f"case when min({px}) over {w} < max({px}) over {w} and min({py}) over {w} < max({py}) over {w} "
         f"then greatest(-1.0, least(1.0, covar_samp({px}, {py}) over {w} "
-        f"/ (stddev_samp({px}) over {w} * stddev_samp({py}) over {w}))) end"
+        f"/ sqrt(var_samp({px}) over {w} * var_samp({py}) over {w}))) end"
     )
 
 

@@ -65,7 +65,7 @@ def correl(x: Column, y: Column, n: int, over: SymbolFrame) -> Column:
     """Pairwise-complete Pearson before clamping; NULL when either side is constant."""
     px, py = _paired(x, y)
     frame = over.last(n)
-    scale = F.stddev_samp(px).over(frame) * F.stddev_samp(py).over(frame)
+    scale = F.sqrt(F.var_samp(px).over(frame) * F.var_samp(py).over(frame))
     return F.try_divide(F.covar_samp(px, py).over(frame), scale)
 
 
