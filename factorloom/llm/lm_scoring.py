@@ -147,6 +147,8 @@ def cross_entropy_difference(
 ) -> DataFrame:
     """``key, tokens, score`` for every document against the texts of ``target``."""
     size = vocabulary_size(tokenizer)
+    if size > START:
+        raise ValueError(f"{size} token ids do not fit into 16 bits")
     own = token_chunks(docs, {"key": F.col(f"`{key}`")}, tokenizer, text)
     wanted = token_chunks(target, {"key": F.lit(0)}, tokenizer, text)
     background, goal = unigrams(own, size), unigrams(wanted, size)
