@@ -52,7 +52,7 @@ BLOCK = 256
 # Rows of small groups that one call handles together.
 ROWS = 400
 # Shingles of a chunk of texts (a longer text is a chunk of its own), and shingles that a slice should meet.
-CHUNK = 1_000_000
+CHUNK = 250_000
 SLICE_SHINGLES = 8_000_000
 # Parts by hash in which a text's shared shingles are counted; a part with more than HELD is not told.
 PARTS, HELD = 32, 60_000
