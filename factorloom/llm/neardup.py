@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import columns_of, stored
+from factorloom.llm.common import columns_of, release, stored
 
 WORDS = 5
 SIMILAR = 0.8
@@ -288,6 +288,7 @@ def sketch_rows(texts: DataFrame, count: int, picks: int) -> DataFrame:
     """``row, text_id, length, sketch`` (array of ``count`` hashes)."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             shingles = [labelled_shingles(t) for t in b["text"]]
             yield pd.DataFrame(

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.llm.common import stored
+from factorloom.llm.common import held, stored
 from factorloom.llm.texts import bounded, byte_letters
 
 SEQUENCE = 2048
@@ -49,8 +49,6 @@ SLACK = 1 / 256
 BINS_PER_TASK = 8192
 FAN_IN = 8
 
-_ENCODERS: dict[str, "WordIds"] = {}
-
 
 class WordMerges:
     """Merges of a vocabulary with word ends, for many words at a time.
@@ -128,10 +126,11 @@ class WordIds:
     white space or between a letter and a mark, so a text's ids are those of its
     words in order.  Words that a batch of texts adds are encoded together: Latin
     letters, perhaps with a full stop or comma behind them, by :class:`WordMerges`,
-    all others by the tokenizer itself.  Up to ``ENTRIES`` of them stay known.
+    all others by the tokenizer itself.  Up to ``ENTRIES`` of them stay known, and
+    between tasks the ``RESTING`` that were met first.
     """
 
-    ENTRIES = 400_000
+    ENTRIES, RESTING = 400_000, 100_000
     # Latin letters that are one letter each in lower case.
     PLAIN = re.compile("^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64})([.,]?)$", re.M)
 
@@ -196,12 +195,14 @@ class WordIds:
         cuts = np.r_[0, ends][cut.offsets.to_numpy()].tolist()
         return [out[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
 
+    def rest(self) -> None:
+        """Gives memory back between tasks; Spark may hold more workers than run at once."""
+        self.known = dict(islice(self.known.items(), self.RESTING))
+
 
 def encoder(path: str) -> WordIds:
-    """One per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    """One per Python worker, until another operator runs there."""
+    return held(("words", path), lambda: WordIds(path))
 
 
 def cut_pieces(
@@ -249,6 +250,8 @@ def cut_pieces(
                 if ids:
                     made["ids"] = cuts
                 yield made
+                pa.default_memory_pool().release_unused()  # else each worker keeps its largest part's buffers
+        words.rest()
 
     pieces = picked.mapInPandas(cut, out)
     return pieces.withColumnsRenamed(dict(zip(names, keep)))

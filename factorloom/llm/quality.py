@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.llm.common import isotonic, stored
+from factorloom.llm.common import isotonic, release, stored
 
 WAVES = 256
 RIDGE = 1e-3
@@ -150,6 +150,7 @@ def described(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> D
     rows = docs.select(F.col(f"`{text}`").alias("_text"), *[c.alias(n) for n, c in keep.items()])
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             x = statistics_frame(b.pop("_text"))
             yield b.assign(x=list(x))

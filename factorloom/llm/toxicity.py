@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import pickle
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.llm.common import isotonic, stored
+from factorloom.llm.common import isotonic, release, stored
 
 BUCKETS = 1 << 22
 SIZE = 12
@@ -204,15 +203,10 @@ class Reader:
         return float(best @ self.net.out + self.net.bias)
 
 
-_READERS: dict[str, Reader] = {}
-
-
 def reader(shared) -> Reader:
-    """One per Python worker and model."""
-    if shared.value[0] not in _READERS:
-        _READERS.clear()
-        _READERS[shared.value[0]] = Reader(shared.value[1])
-    return _READERS[shared.value[0]]
+    """One per task: the worker keeps none of its words when the task is over."""
+    release()
+    return Reader(shared.value)
 
 
 def start_network(texts: list[np.ndarray], seed: int) -> Network:
@@ -333,7 +327,7 @@ def held_back() -> Column:
 
 def shared_model(spark: SparkSession, net: Network):
     """The network for the tasks; its size is bounded by the training sample."""
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, net))
+    return spark.sparkContext.broadcast(net)
 
 
 def read(docs: DataFrame, keep: dict[str, Column], net: Network, text: str = "text") -> DataFrame:
@@ -398,9 +392,10 @@ def score_text(net: Network, text: Column, spark: SparkSession) -> Column:
     shared = shared_model(spark, net)
 
     @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = reader(shared)
-        got = np.array(words.read(texts.to_list()), float).reshape(-1, 2)
-        return pd.Series(words.net.probability(got[:, 0], got[:, 1].astype(int)))
+        for texts in batches:
+            got = np.array(words.read(texts.to_list()), float).reshape(-1, 2)
+            yield pd.Series(words.net.probability(got[:, 0], got[:, 1].astype(int)))
 
     return probability(text)
