@@ -352,6 +352,26 @@ def _entries(shingles: np.ndarray, owner: np.ndarray, comps: np.ndarray) -> tupl
     return np.r_[s[first], s[first][two]], np.r_[low, high[two]]
 
 
+def in_several(shingles: np.ndarray, comps: np.ndarray) -> np.ndarray:
+    """Of each entry, whether several classes hold its shingle."""
+    order = np.argsort(shingles, kind="stable")
+    s, c = shingles[order], comps[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    two = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+    out = np.empty(len(s), bool)
+    out[order] = np.repeat(two, np.diff(np.r_[first, len(s)]))
+    return out
+
+
+def answered(got: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk's entries in one slice, whether several classes hold them (bits): one sort answers all chunks."""
+    s = np.concatenate([np.frombuffer(x, "uint64") for x in got["s"]])
+    c = np.concatenate([np.frombuffer(n, "<i8")[np.frombuffer(p, "<u4")] for n, p in zip(got["names"], got["place"])])
+    ends = np.cumsum([len(x) // 8 for x in got["s"]])
+    several = [np.packbits(x).tobytes() for x in np.split(in_several(s, c), ends[:-1])]
+    return pd.DataFrame({"chunk": got["chunk"], "slice": got["slice"], "several": several})
+
+
 def shared_counts(texts: DataFrame, sized: DataFrame) -> DataFrame:
     """``row, length, shared, parts``: how many shingles of a text also occur in texts of other classes,
     in all and by hash (16 bits a part; NULL if a part does not fit).
@@ -416,19 +436,7 @@ def shared_counts(texts: DataFrame, sized: DataFrame) -> DataFrame:
 
     asked = chunks.mapInPandas(ask, "slice int, chunk long, s binary, names binary, place binary")
 
-    def answer(got: pd.DataFrame) -> pd.DataFrame:
-        s = [np.frombuffer(x, "uint64") for x in got["s"]]
-        c = [np.frombuffer(n, "<i8")[np.frombuffer(p, "<u4")] for n, p in zip(got["names"], got["place"])]
-        every, _ = _entries(np.concatenate(s), np.arange(sum(map(len, s))), np.concatenate(c))
-        several = np.sort(every[len(np.unique(every)) :])  # named a second time
-        return pd.DataFrame(
-            {
-                "chunk": got["chunk"], "slice": got["slice"],
-                "several": [np.packbits(np.isin(x, several, assume_unique=False)).tobytes() for x in s],
-            }
-        )
-
-    answers = asked.groupBy("slice").applyInPandas(answer, "chunk long, slice int, several binary")
+    answers = asked.groupBy("slice").applyInPandas(answered, "chunk long, slice int, several binary")
 
     def count(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(chunk):

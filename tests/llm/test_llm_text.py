@@ -2,9 +2,11 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -302,6 +304,27 @@ def test_shared_counts_equal_plain_sets(spark, monkeypatch):
         assert got[i] == (len(own), len(own & others))
 
 
+def test_shingles_of_several_classes_cost_one_sort():
+    """A slice answers its chunks together: holding each against all shingles of the slice grew with the square."""
+    rng = np.random.default_rng(10)
+    few, comps = rng.integers(0, 40, 200).astype("uint64"), rng.integers(0, 3, 200)
+    held = {v: {c for w, c in zip(few.tolist(), comps.tolist()) if w == v} for v in few.tolist()}
+    assert neardup.in_several(few, comps).tolist() == [len(held[v]) > 1 for v in few.tolist()]
+    many = rng.integers(0, 1 << 20, 1_500_000).astype("uint64")
+    got = pd.DataFrame({"chunk": range(150), "slice": 0, "s": [neardup.mixed(x).tobytes() for x in np.split(many, 150)]})
+    got["names"] = [np.arange(2).tobytes()] * 150
+    got["place"] = [(x % np.uint64(2)).astype("<u4").tobytes() for x in np.split(many >> np.uint64(1), 150)]
+    began = time.process_time()
+    answers = neardup.answered(got)
+    assert time.process_time() - began < 8
+    assert answers["chunk"].tolist() == list(range(150)) and not any(map(any, answers["several"]))  # one class for each value
+    got["place"] = [np.full(10_000, k % 2, "<u4").tobytes() for k in range(150)]
+    flags = np.concatenate([np.unpackbits(np.frombuffer(x, "uint8")) for x in neardup.answered(got)["several"]])
+    own = np.repeat(np.arange(150) % 2, 10_000)
+    both = np.intersect1d(many[own == 0], many[own == 1])
+    assert (flags.astype(bool) == np.isin(many, both)).all()
+
+
 def test_every_letter_in_every_place(plain_tokenizer):
     """Words of every alphabetic code point, alone, inside and at the end, with each mark behind."""
     letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
