@@ -51,6 +51,8 @@ GROUP = 128
 BLOCK = 256
 # Rows of small groups that one call handles together.
 ROWS = 400
+# Places of the table in which a text's shingles are marked.
+MARKS = 1 << 20
 # Shingles of a chunk of texts (a longer text is a chunk of its own), and shingles that a slice should meet.
 CHUNK = 250_000
 SLICE_SHINGLES = 8_000_000
@@ -141,6 +143,11 @@ def sketches(shingles: np.ndarray, count: int = SKETCHES, picks: int = PICKS) ->
     return out
 
 
+def least_common(n1: int, n2: int, similar: float) -> int:
+    """Shingles that two texts of so many must share to be similar."""
+    return int(np.ceil(similar * (n1 + n2) / (1 + similar) - 1e-9))
+
+
 def aligned(one: dict[int, int], n1: int, two: np.ndarray, similar: float = SIMILAR) -> float:
     """Similarity of two shingle sequences; 0 if it is below ``similar``.
 
@@ -149,7 +156,7 @@ def aligned(one: dict[int, int], n1: int, two: np.ndarray, similar: float = SIMI
     n2 = len(two)
     if min(n1, n2) < similar * max(n1, n2):
         return 0.0
-    least = int(np.ceil(similar * (n1 + n2) / (1 + similar) - 1e-9))
+    least = least_common(n1, n2, similar)
     # A subsequence of `least` matches cannot leave this band around the diagonal.
     band = max(n1, n2) - least
     places = [p for p in map(one.get, two.tolist())]
@@ -227,35 +234,57 @@ def holding(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.where(held("row"))
 
 
+def by_centre(pairs: DataFrame) -> DataFrame:
+    """``a, b, tile``: texts ``b`` meet their centre ``a``, ``GROUP`` at a time, so any number of them spreads over tasks."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    return pairs.join(many, "a").select("a", "b", F.xxhash64("a", part).alias("tile"))
+
+
+def compared(texts: pd.DataFrame, pairs: pd.DataFrame, similar: float) -> pd.DataFrame:
+    """The pairs ``a, b`` similar enough, of tiles of ``row, text``.
+
+    A text's shingles are made once a tile.  They are marked in a table by some of
+    their bits, which tells at least as many common shingles as a pair has, so only
+    pairs that hold enough of them are aligned.
+    """
+    found, marks = [], np.zeros(MARKS, bool)
+    bits, places = np.uint64(MARKS - 1), texts.groupby("tile").indices
+    for tile, own in pairs.groupby("tile", sort=False):
+        at = places.get(tile, ())
+        shingles = {r: labelled_shingles(t) for r, t in zip(texts["row"].iloc[at], texts["text"].iloc[at])}
+        for a, partners in own.groupby("a", sort=False)["b"]:
+            one, place = shingles[a], {}
+            marks[one & bits] = True
+            for b in partners.tolist():
+                two = shingles[b]
+                if np.count_nonzero(marks[two & bits]) >= least_common(len(one), len(two), similar):
+                    place = place or {s: i for i, s in enumerate(one.tolist())}
+                    near = aligned(place, len(one), two, similar)
+                    if near:
+                        found.append((a, b, near))
+            marks[one & bits] = False
+    return pd.DataFrame(found, columns=["a", "b", "similarity"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """The pairs ``a, b`` (row numbers) whose alignment is similar enough.
 
-    Texts are grouped with the centre ``a`` they are compared with, ``GROUP`` at a
-    time, so a centre with any number of partners spreads over tasks.
+    ``pairs`` name the ``tile`` in which they are compared; a tile reads each of its
+    texts once, however many pairs the text is in.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
-    sized = stored(pairs.join(many, "a").select("a", "b", part.alias("part")), "pairs")
-    sides = sized.select("a", "part", F.col("b").alias("row"), F.lit(False).alias("centre")).unionAll(
-        sized.select("a", "part", F.col("a").alias("row"), F.lit(True).alias("centre")).distinct()
-    )
-    # Small groups share a call.
-    bins = max(1, -(-sized.count() // ROWS))
-    rows = sides.join(holding(texts, sides), "row").withColumn("bin", F.pmod(F.xxhash64("a", "part"), F.lit(bins)))
+    pairs = stored(pairs, "pairs")
+    sides = pairs.select("tile", F.col("a").alias("row")).unionAll(pairs.select("tile", F.col("b").alias("row")))
+    sides = stored(sides.distinct(), "sides")
+    # Small tiles share a call.
+    bins = max(1, -(-sides.count() // (2 * ROWS)))
+    binned = lambda df: df.withColumn("bin", F.pmod("tile", F.lit(bins))).groupBy("bin")
+    rows = sides.join(holding(texts.select("row", "text"), sides), "row")
 
-    def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for (a, _), group in batch.groupby(["a", "part"], sort=False):
-            shingles = labelled_shingles(group["text"][group["centre"]].iloc[0])
-            place = {s: i for i, s in enumerate(shingles.tolist())}
-            rest = group[~group["centre"]]
-            for b, t in zip(rest["row"], rest["text"]):
-                near = aligned(place, len(shingles), labelled_shingles(t), similar)
-                if near:
-                    found.append((a, b, near))
-        return pd.DataFrame(found, columns=["a", "b", "similarity"])
+    def compare(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        return compared(rows, pairs, similar)
 
-    return rows.groupBy("bin").applyInPandas(compare, "a long, b long, similarity double")
+    return binned(rows).cogroup(binned(pairs)).applyInPandas(compare, "a long, b long, similarity double")
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -321,7 +350,7 @@ def classes(rows: DataFrame, similar: float = SIMILAR, count: int = SKETCHES, pi
     fits = F.least("length", "a_length") >= similar * F.greatest("length", "a_length")
     pairs = shared.join(centres, ["i", "value"]).where("a <> row").where(fits)
     pairs = stored(pairs.select("a", F.col("row").alias("b")).distinct(), "centre-pairs")
-    links = stored(verified(pairs, texts, similar), "links")
+    links = stored(verified(by_centre(pairs), texts, similar), "links")
     comps = stored(components(links, drawn), "components")
 
     # What centres did not settle: buckets that hold several classes.
@@ -332,7 +361,8 @@ def classes(rows: DataFrame, similar: float = SIMILAR, count: int = SKETCHES, pi
     counts = shared_counts(unsettled.join(holding(texts.select("row", "text"), unsettled), "row"), unsettled)
     able = unsettled.drop("comp", "length").join(counts, "row").where(F.col("shared") >= F.lit(similar) * F.col("length") - 1e-9)
     open_rows = parted.join(stored(able.select("row", "shared", "parts"), "able"), "row")
-    more = stored(open_pairs(open_rows, similar).join(pairs, ["a", "b"], "left_anti"), "open")
+    known = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = stored(open_pairs(open_rows, similar).join(known, ["a", "b"], "left_anti"), "open")
     if not more.isEmpty():
         found = verified(more, texts, similar).select("a", "b")
         comps = stored(components(links.select("a", "b").unionAll(found), drawn), "components")
@@ -457,7 +487,7 @@ def shared_counts(texts: DataFrame, sized: DataFrame) -> DataFrame:
 
 
 def open_pairs(rows: DataFrame, similar: float) -> DataFrame:
-    """Pairs of different classes in one bucket that may still be similar, smaller number second.
+    """``a, b, tile``: pairs of different classes in one bucket that may still be similar, smaller number second.
 
     Texts outside a bucket's largest class meet all texts of the bucket, block by
     block; a pair goes on if the lengths, and the shingles that either shares with
@@ -480,37 +510,38 @@ def open_pairs(rows: DataFrame, similar: float) -> DataFrame:
     blocks = outside.select(*bucket, "block").distinct()
     left = outside.join(parts, bucket)
     right = marked.drop("block", "outside").join(blocks, bucket)
-    group, cols = [*bucket, "block", "part"], ["row", "length", "shared", "parts", "comp"]
-    bins = max(1, -(-marked.count() // (10 * ROWS)))  # small groups share a call
+    bins = max(1, -(-marked.count() // (10 * ROWS)))  # small tiles share a call
 
     def side(df: DataFrame) -> DataFrame:
-        named = df.select(*[F.col(c).alias(c) for c in group + cols])
-        return named.withColumn("bin", F.pmod(F.xxhash64(*group), F.lit(bins)))
+        tile = F.xxhash64(*bucket, "block", "part").alias("tile")
+        named = df.select(tile, *[F.col(c).alias(c) for c in ("i", "row", "length", "shared", "parts", "comp")])
+        return named.withColumn("bin", F.pmod("tile", F.lit(bins)))
 
     def told(parts: bytes | None) -> np.ndarray:
         return np.frombuffer(parts, "<u2") if parts is not None else np.full(PARTS, 0xFFFF, "<u2")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = set()
+        found: list[tuple] = [(np.zeros(0, "int64"),) * 4]
         if len(a) and len(b):
             length_b, comp_b, id_b, shared_b = (b[c].to_numpy() for c in ("length", "comp", "row", "shared"))
             parts_b = np.vstack([told(x) for x in b["parts"]])
-            partners = b.groupby(group).indices
-            rows_a = zip(zip(*[a[c] for c in group]), a["row"], a["length"], a["shared"], a["parts"], a["comp"])
-            for key, t, n, shared, own, comp in rows_a:
-                at = partners.get(key, ())
+            partners = b.groupby("tile").indices
+            for i, tile, t, n, shared, own, comp in zip(*[a[c] for c in ("i", "tile", "row", "length", "shared", "parts", "comp")]):
+                at = partners.get(tile, ())
                 if len(at):
                     lengths = length_b[at]
                     least = similar * (lengths + n) / (1 + similar) - 1e-9  # shingles that must be common
                     near = (np.minimum(lengths, n) >= similar * np.maximum(lengths, n)) & (comp_b[at] != comp)
                     near &= np.minimum(shared_b[at], shared) >= least
                     at, least = at[near], least[near]
-                    at = at[np.minimum(parts_b[at], told(own)).sum(1, dtype="int64") >= least]
-                    found.update((max(t, x), min(t, x)) for x in id_b[at])
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
-
-    met = side(left).groupBy("bin").cogroup(side(right).groupBy("bin")).applyInPandas(meet, "a long, b long")
-    return met.distinct()
+                    x = id_b[at[np.minimum(parts_b[at], told(own)).sum(1, dtype="int64") >= least]]
+                    if len(x):
+                        found.append((np.maximum(x, t), np.minimum(x, t), np.full(len(x), i), np.full(len(x), tile)))
+        return pd.DataFrame(dict(zip(("a", "b", "i", "tile"), map(np.concatenate, zip(*found)))))
+
+    met = side(left).groupBy("bin").cogroup(side(right).groupBy("bin")).applyInPandas(meet, "a long, b long, i int, tile long")
+    # The first bucket of a pair, so that the pairs of a group of texts stay in few tiles.
+    return met.groupBy("a", "b").agg(F.min(F.struct("i", "tile"))["tile"].alias("tile"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -325,6 +325,24 @@ def test_shingles_of_several_classes_cost_one_sort():
     assert (flags.astype(bool) == np.isin(many, both)).all()
 
 
+def test_texts_of_a_tile_are_read_once(monkeypatch):
+    """A large group of near copies, all pairs open: the work of a pair is to count marks."""
+    rng = np.random.default_rng(11)
+    texts = [t for k in range(2) for t in near_copies(rng, [f"w{k}{i}" for i in range(90)], 30)]
+    rows = pd.DataFrame({"tile": [5] * 60 + [6] * 3, "row": [*range(60), 0, 7, 33], "text": [*texts, texts[0], texts[7], texts[33]]})
+    pairs = [(5, a, b) for a in range(60) for b in range(a)] + [(6, 7, 0), (6, 33, 7)]
+    made, tried, shingles, aligned = [], [], neardup.labelled_shingles, neardup.aligned
+    monkeypatch.setattr(neardup, "labelled_shingles", lambda t: made.append(t) or shingles(t))
+    monkeypatch.setattr(neardup, "aligned", lambda *x: tried.append(x) or aligned(*x))
+    got = neardup.compared(rows, pd.DataFrame(pairs, columns=["tile", "a", "b"]), 0.8)
+    assert len(made) == len(rows)
+    own = [shingles(t) for t in texts]
+    place = [{s: i for i, s in enumerate(x.tolist())} for x in own]
+    want = [(a, b, near) for _, a, b in pairs if (near := aligned(place[a], len(own[a]), own[b]))]
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want)
+    assert len(want) < len(pairs) / 2 and len(tried) <= 2 * len(want)
+
+
 def test_every_letter_in_every_place(plain_tokenizer):
     """Words of every alphabetic code point, alone, inside and at the end, with each mark behind."""
     letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
